@@ -157,7 +157,7 @@ def keyed(sets: DataFrame, counts: np.ndarray, bound: int, percent: int = PERCEN
             total = h.sum(dtype=np.uint64, keepdims=True)
             sums = []
             for k in range(left_out(n, percent) + 1):
-                pick = np.array(list(itertools.combinations(range(n), k)), dtype=int).reshape(-1, k)
+                pick = np.array(list(itertools.combinations(range(n), k)), dtype=int)
                 sums.append(total - h[pick].sum(axis=1, dtype=np.uint64) + np.array([n - k], dtype=np.uint64) * shared.GOLD)
             out.append(shared.mix(np.hstack(sums) ^ np.uint64(1)))
         return np.concatenate(out)
