@@ -14,7 +14,7 @@ A list links by its pivots first (its least and its greatest class): each member
 the pivot's component need no pairs among themselves; of the others all pairs across components are tested. So a large group
 of near copies costs about a pair a copy, and no link between components is lost. Parity bitmaps of the sets prune pairs
 without loss: the bits in which they differ never outnumber the shingles in which the sets differ. What is left is verified
-on the sets themselves, kept as 48-bit hashes.
+on the sets themselves, made from the texts again: keeping every set would take more disk than making the few that are needed.
 
 Nulls: a null text has an empty set and no link. A null doc_id never names a component (null if all its ids are). Rows that
 share a doc_id are judged each by their own text. Empty texts and ties of ids need no rule beyond these; an empty table gives
@@ -37,7 +37,8 @@ from .components import components
 from .features import FOLD
 
 PERCENT, WORDS, BITS = 90, 3, 20
-_LOW = np.uint64((1 << 48) - 1)
+#: Columns of the parity bitmap, 64 bits each.
+SIGN = [f"s{i}" for i in range(4)]
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
@@ -62,60 +63,48 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = WORDS) -> list[n
     return out
 
 
-def packed(h: np.ndarray) -> bytes:
-    """Sorted 48-bit values, six bytes each."""
-    return np.sort(h & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def class_ids(sets: list[np.ndarray], salt: int) -> pa.Array:
+    """A 64-bit name for each set; equal sets have equal names."""
+    return pa.array([int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little", signed=True) for h in sets], pa.int64())
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def bucket_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def set_table(documents: DataFrame, k: int = WORDS) -> DataFrame:
-    """(doc_id, n, digest, shingles, s0 .. s7) of every row; s0 .. s7 are the parity bitmap."""
-    names = ["doc_id", "n", "digest", "shingles", *[f"s{i}" for i in range(8)]]
+def id_and_text(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in shared.in_batches(batches):
-            sets = shingle_sets(*shared.text_bytes(b.column("text")), k)
-            sign = np.zeros((len(sets), 8), dtype=np.int64)
-            for i, h in enumerate(sets):
-                if len(h):
-                    sign[i] = np.packbits((np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)).view(np.int64)
-            digest = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([packed(h) for h in sets], pa.binary()), *[pa.array(sign[:, i]) for i in range(8)]], names=names)
-
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, shingles binary, " + ", ".join(f"s{i} long" for i in range(8)))
 
-
-def rarity(sets: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Counts of shingles over all rows by the top bits of their 48: a table of 2**bits numbers, whatever the input."""
+def statistics(documents: DataFrame, k: int, bits: int = BITS, small: int = 128) -> tuple[np.ndarray, dict[int, int]]:
+    """Counts of shingles over all rows by the top bits of their hashes, and how many sets there are of each size below
+    `small`: tables of fixed size, whatever the input."""
     slices = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
-        for b in batches:
-            for raw in b.column("shingles").to_pylist():
-                if raw:
-                    np.add.at(total, (unpacked(raw) >> np.uint64(48 - bits)).astype(np.int64), 1)
-        part = np.minimum(total, 65535).astype("<u2").reshape(slices, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in part], pa.binary())], names=["slice", "counts"])
+        total, sizes = np.zeros(1 << bits, dtype=np.int64), np.zeros(small, dtype=np.int64)
+        for b in shared.in_batches(batches):
+            sets = shingle_sets(*shared.text_bytes(b.column("text")), k)
+            np.add.at(total, bucket_of(np.concatenate(sets), bits), 1)
+            sizes += np.bincount([min(len(h), small) for h in sets], minlength=small + 1)[:small]
+        part = [p.tobytes() for p in np.minimum(total, 65535).astype("<u2").reshape(slices, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices + 1), pa.int32()), pa.array([*part, sizes.tobytes()], pa.binary())], names=["slice", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for s, raw in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                total[s] = total.get(s, 0) + np.frombuffer(raw, "<u2").astype(np.int64)
+                total[s] = total.get(s, 0) + np.frombuffer(raw, "<u2" if s < slices else "<i8").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
-    rows = sets.select("shingles").mapInArrow(count, "slice int, counts binary").repartition(16, "slice").mapInArrow(add, "slice int, counts binary").collect()
-    out = np.zeros((slices, (1 << bits) // slices), dtype=np.int64)
+    rows = id_and_text(documents).select("text").mapInArrow(count, "slice int, counts binary").repartition(16, "slice").mapInArrow(add, "slice int, counts binary").collect()
+    out, sizes = np.zeros((slices, (1 << bits) // slices), dtype=np.int64), {}
     for r in rows:
-        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(out.ravel(), 2**31 - 1).astype(np.int32)
+        if r["slice"] < slices:
+            out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+        else:
+            sizes = {n: int(c) for n, c in enumerate(np.frombuffer(r["counts"], np.int64)) if c and n}
+    return np.minimum(out.ravel(), 2**31 - 1).astype(np.int32), sizes
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -144,41 +133,62 @@ def boundary(sizes: dict[int, int], percent: int, list_rows: float = 4.0, most:
     return min(range(1, most + 1), key=cost)
 
 
-def keyed(sets: DataFrame, counts: np.ndarray, bound: int, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
-    """(rid, n, keys): the keys by which a set meets similar ones."""
-    table = sets.sparkSession.sparkContext.broadcast(counts)
+def keyed(documents: DataFrame, k: int, counts: np.ndarray, bound: int, percent: int, salt: int, bits: int = BITS) -> DataFrame:
+    """(doc_id, n, cid, keys, s0 .. s3) of every row: the keys by which its set meets similar ones, and its parity bitmap."""
+    table = documents.sparkSession.sparkContext.broadcast(counts)
+    names = ["doc_id", "n", "cid", "keys", *SIGN]
 
     def keys_of(h: np.ndarray) -> np.ndarray:
         n, out = len(h), []
-        if n >= bound:
-            order = np.lexsort((h, table.value[(h >> np.uint64(48 - bits)).astype(np.int64)]))
+        if n and n >= bound:
+            order = np.lexsort((h, table.value[bucket_of(h, bits)]))
             out.append(shared.mix(h[order[: prefix_length(n, percent)]] + shared.GOLD))
-        if n * percent < bound * 100:
+        if n and n * percent < bound * 100:
             total = h.sum(dtype=np.uint64, keepdims=True)
             sums = []
-            for k in range(left_out(n, percent) + 1):
-                pick = np.array(list(itertools.combinations(range(n), k)), dtype=int)
-                sums.append(total - h[pick].sum(axis=1, dtype=np.uint64) + np.array([n - k], dtype=np.uint64) * shared.GOLD)
-            out.append(shared.mix(np.hstack(sums) ^ np.uint64(1)))
-        return np.concatenate(out)
+            for r in range(left_out(n, percent) + 1):
+                pick = np.array(list(itertools.combinations(range(n), r)), dtype=int)
+                sums.append(total - h[pick].sum(axis=1, dtype=np.uint64) + np.array([n - r], dtype=np.uint64) * shared.GOLD)
+            out.append(shared.mix(np.concatenate(sums) ^ np.uint64(1)))
+        return np.concatenate(out) if out else h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [keys_of(unpacked(raw)) for raw in b.column("shingles").to_pylist()]
+        for b in shared.in_batches(batches):
+            sets = shingle_sets(*shared.text_bytes(b.column("text")), k)
+            sign = np.zeros((len(sets), len(SIGN)), dtype=np.int64)
+            for i, h in enumerate(sets):
+                if len(h):
+                    sign[i] = np.packbits((np.bincount((h & np.uint64(64 * len(SIGN) - 1)).astype(np.int64), minlength=64 * len(SIGN)) & 1).astype(np.uint8)).view(np.int64)
+            keys = [keys_of(h) for h in sets]
             at = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("n"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["rid", "n", "keys"])
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), class_ids(sets, salt), lists, *[pa.array(sign[:, i]) for i in range(len(SIGN))]], names=names)
 
-    return sets.filter("n > 0").select("rid", "n", "shingles").mapInArrow(run, "rid long, n long, keys array<long>")
+    return id_and_text(documents).mapInArrow(run, "doc_id long, n long, cid long, keys array<long>, " + ", ".join(f"{x} long" for x in SIGN))
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
     """False only where sizes or parity bitmaps rule out the similarity."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, 8)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    differ = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in SIGN[1:]), F.bit_count(F.col(f"{a}.{SIGN[0]}").bitwiseXOR(F.col(f"{b}.{SIGN[0]}"))))
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ * (100 + percent) <= (100 - percent) * (na + nb))
 
 
+def sets_of(documents: DataFrame, wanted: DataFrame, k: int, salt: int, most: int = 500_000) -> DataFrame:
+    """(cid, shingles) of the classes (cid, doc_id) wanted, from the texts again. The list of ids is broadcast up to `most` rows; beyond, it is joined."""
+    ids = wanted.select("doc_id").distinct()
+    small = ids.limit(most + 1).count() <= most
+    texts = id_and_text(documents).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in shared.in_batches(batches):
+            sets = shingle_sets(*shared.text_bytes(b.column("text")), k)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), class_ids(sets, salt), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "cid", "shingles"])
+
+    found = texts.mapInArrow(run, "doc_id long, cid long, shingles binary")
+    return found.join(wanted, ["cid", "doc_id"], "left_semi").select("cid", "shingles")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity."""
 
@@ -186,49 +196,60 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in shared.in_batches(batches, 1 << 24):
             keep = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                both = np.sort(np.concatenate([unpacked(x), unpacked(y)]))
+                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= percent * (len(both) - same))
             keep = np.array(keep, dtype=bool)
             yield pa.RecordBatch.from_arrays([pa.array(b.column(c).to_numpy()[keep]) for c in ("a", "b")], names=["a", "b"])
 
-    one = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("y"))
+    one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def linked(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """(rid, doc_id, n_shingles, root, component_id) of every row; root is the least rid of the component."""
+    """(doc_id, n_shingles, root, component_id) of every row; root is the least class of the component."""
     scratch = shared.Scratch(spark, "jaccard")
-    sets = scratch.save(set_table(documents, k).withColumn("rid", F.monotonically_increasing_id()))
-    classes = sets.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    rows = scratch.save(sets.select("rid", "doc_id", "n", "digest").join(classes, "digest", "left").select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep")))
-    reps = rows.filter("rid = rep").select("rid")
-    sizes = dict(rows.filter("n between 1 and 80").groupBy("n").count().toPandas().itertuples(index=False))
-    keys = keyed(sets, rarity(sets), boundary(sizes, percent), percent)
-    posts = scratch.save(keys.join(reps, "rid").select(F.explode("keys").alias("key"), "rid"))
-    lists = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("rid").alias("first"), F.max("rid").alias("last")).filter("c > 1").drop("c")
-    sign = [f"s{i}" for i in range(8)]
-    members = scratch.save(posts.join(lists, "key").join(sets.select("rid", "n", *sign), "rid"))
+    counts, sizes = statistics(documents, k)
+    salt = 0
+    rows = scratch.save(keyed(documents, k, counts, boundary(sizes, percent), percent, salt))
+    sign = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *[F.min(x).alias(x) for x in SIGN])
+    sign = scratch.save(sign)
+    # one row of each class stands for it: its keys are those of all the others
+    own = rows.select("doc_id", "cid", "keys").join(sign.select("doc_id", "cid"), (rows["cid"] == sign["cid"]) & rows["doc_id"].eqNullSafe(sign["doc_id"]), "left_semi")
+    posts = own.select(F.explode("keys").alias("key"), "cid")
+    lists = posts.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first < last")
+    members = scratch.save(posts.join(lists, "key").select("key", "cid", "first", "last"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        names = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        texts = scratch.save(sets_of(documents, names.join(sign, "cid").select("cid", "doc_id"), k, salt))
+        links = scratch.save(verified(pairs, texts, percent).distinct())
+        scratch.drop(texts)
+        return links
+
     # members against the pivots of their lists
-    pivot = members.filter("rid = first or rid = last").alias("p")
-    star = members.alias("m").join(pivot, (F.col("m.key") == F.col("p.key")) & (F.col("m.rid") != F.col("p.rid")) & may_link("m", "p", percent))
-    tried = star.select(F.least("m.rid", "p.rid").alias("a"), F.greatest("m.rid", "p.rid").alias("b")).distinct()
-    links = scratch.save(verified(tried, sets, percent))
+    star = members.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("cid").alias("b")), F.struct(F.col("cid").alias("a"), F.col("last").alias("b")))).alias("e")).select("e.*").filter("a < b").distinct()
+    one, two = sign.alias("m"), sign.alias("p")
+    tried = star.join(one, F.col("a") == F.col("m.cid")).join(two, (F.col("b") == F.col("p.cid")) & may_link("m", "p", percent)).select("a", "b")
+    links = check(scratch.save(tried))
     roots = scratch.save(components(scratch, links))
     # all pairs across components; those within the pivot's component are in no need of it
-    at = members.join(roots, members["rid"] == roots["node"], "left").select(*members.columns, F.coalesce("root", "rid").alias("root"))
-    home = at.filter("rid = first").select("key", F.col("root").alias("home"))
-    at = scratch.save(at.join(home, "key"))
-    strays = at.filter("root <> home").alias("m")
-    cross = strays.join(at.alias("p"), (F.col("m.key") == F.col("p.key")) & (F.col("m.root") != F.col("p.root")) & ((F.col("p.root") == F.col("p.home")) | (F.col("m.rid") < F.col("p.rid"))) & may_link("m", "p", percent))
-    rest = cross.select(F.least("m.rid", "p.rid").alias("a"), F.greatest("m.rid", "p.rid").alias("b")).distinct()
-    more = scratch.save(verified(rest, sets, percent))
+    at = members.join(roots, members["cid"] == roots["node"], "left").select("key", "cid", "first", F.coalesce("root", "cid").alias("root"))
+    home = at.filter("cid = first").select("key", F.col("root").alias("home"))
+    mixed = at.join(home, "key").withColumn("stray", F.col("root") != F.col("home"))
+    mixed = mixed.join(mixed.filter("stray").select("key").distinct(), "key", "left_semi")
+    mixed = scratch.save(mixed.join(sign.drop("doc_id"), "cid").select("key", "cid", "root", "stray", "n", *SIGN))
+    cross = mixed.filter("stray").alias("m").join(mixed.alias("p"), (F.col("m.key") == F.col("p.key")) & (F.col("m.root") != F.col("p.root")) & (~F.col("p.stray") | (F.col("m.cid") < F.col("p.cid"))) & may_link("m", "p", percent))
+    rest = scratch.save(cross.select(F.least("m.cid", "p.cid").alias("a"), F.greatest("m.cid", "p.cid").alias("b")).distinct())
+    scratch.drop(mixed)
+    more = check(rest)
     if more.take(1):
         roots = scratch.save(components(scratch, links.unionByName(more)))
-    named = rows.join(roots, rows["rep"] == roots["node"], "left").select("rid", "doc_id", "n", F.coalesce("root", "rep").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "root", "component_id")
+    named = rows.join(roots, rows["cid"] == roots["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "cid")).alias("root"))
+    least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(least, "root", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op10(spark: SparkSession, documents: DataFrame) -> DataFrame:
