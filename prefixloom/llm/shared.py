@@ -80,7 +80,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R**i and R**-i modulo 2**64 for i < n."""
     if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = (n + (1 << 18) - 1) >> 18 << 18
         for k, r in (("up", _R), ("down", pow(_R, -1, 1 << 64))):
             f = np.full(size, r, dtype=np.uint64)
             f[0] = 1
@@ -112,7 +112,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, (bounds - bounds[0]).astype(np.int64) if len(column) else np.zeros(1, np.int64)
 
 
-def in_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def in_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of a bounded number of bytes; a text beyond the bound is a batch of its own."""
     for b in batches:
         n = max(1, -(-b.nbytes // most_bytes))
