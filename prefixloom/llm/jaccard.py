@@ -4,13 +4,15 @@ Equal sets become one class first. Two sets of Jaccard similarity t or more then
 
 * small sets are enumerated: a set of n shingles can lose at most n // 10 of them (at t = 0.9) in such a pair, so two of them
   have an equal subset among those with at most so many left out. A subset's key is its sum of hashes and its size.
-* large sets are indexed by inverted lists of their n - ceil(t * n) + 1 rarest shingles: two similar sets meet in one of these.
+* large sets are indexed by inverted lists of their n - ceil(t * n) + 3 rarest shingles: two similar sets meet in 3 of these
+  lists at least (or one, for 1 more than n - ceil(t * n)).
 
 The boundary is where the estimated number of rows is least; sets just above it are also enumerated, so pairs across it meet.
 Rarity is a table of counts of hashed shingles over all rows, of fixed size; any table gives right results, as only one order
 for all sets matters.
 
-A list links by its pivots first (its least and its greatest class): each member against those two. Members that this puts in
+Short lists give all their pairs, and a pair is followed up if it meets in 3 lists, as chance rarely brings two texts together
+so often. A pair that meets in a long list is followed up there: such a list links by its pivots first (its least and its greatest class): each member against those two. Members that this puts in
 the pivot's component need no pairs among themselves; of the others all pairs across components are tested. So a large group
 of near copies costs about a pair a copy, and no link between components is lost. Parity bitmaps of the sets prune pairs
 without loss: the bits in which they differ never outnumber the shingles in which the sets differ. What is left is verified
@@ -37,6 +39,8 @@ from .components import components
 from .features import FOLD
 
 PERCENT, WORDS, BITS = 90, 3, 20
+#: Similar large sets share so many keys at least. Lists of up to SHORT classes give all their pairs.
+SHARED, SHORT = 3, 8
 #: Columns of the parity bitmap, 64 bits each.
 SIGN = [f"s{i}" for i in range(4)]
 
@@ -142,14 +146,14 @@ def keyed(documents: DataFrame, k: int, counts: np.ndarray, bound: int, percent:
         n, out = len(h), []
         if n and n >= bound:
             order = np.lexsort((h, table.value[bucket_of(h, bits)]))
-            out.append(shared.mix(h[order[: prefix_length(n, percent)]] + shared.GOLD))
+            out.append(shared.mix(h[order[: prefix_length(n, percent) + SHARED - 1]] + shared.GOLD) & ~np.uint64(1))
         if n and n * percent < bound * 100:
             total = h.sum(dtype=np.uint64, keepdims=True)
             sums = []
             for r in range(left_out(n, percent) + 1):
                 pick = np.array(list(itertools.combinations(range(n), r)), dtype=int)
                 sums.append(total - h[pick].sum(axis=1, dtype=np.uint64) + np.array([n - r], dtype=np.uint64) * shared.GOLD)
-            out.append(shared.mix(np.concatenate(sums) ^ np.uint64(1)))
+            out.append(shared.mix(np.concatenate(sums)) | np.uint64(1))
         return np.concatenate(out) if out else h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,8 +222,9 @@ def linked(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k:
     # one row of each class stands for it: its keys are those of all the others
     own = rows.select("doc_id", "cid", "keys").join(sign.select("doc_id", "cid"), (rows["cid"] == sign["cid"]) & rows["doc_id"].eqNullSafe(sign["doc_id"]), "left_semi")
     posts = own.select(F.explode("keys").alias("key"), "cid")
-    lists = posts.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first < last")
-    members = scratch.save(posts.join(lists, "key").select("key", "cid", "first", "last"))
+    lists = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first < last")
+    lists = scratch.save(lists)
+    members = scratch.save(posts.join(lists.filter("c > 2"), "key"))
 
     def check(pairs: DataFrame) -> DataFrame:
         names = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -228,10 +233,17 @@ def linked(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k:
         scratch.drop(texts)
         return links
 
-    # members against the pivots of their lists
-    star = members.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("cid").alias("b")), F.struct(F.col("cid").alias("a"), F.col("last").alias("b")))).alias("e")).select("e.*").filter("a < b").distinct()
+    # short lists: all pairs, of which similar sets have SHARED keys or one equal subset
+    weight = F.when(F.col("key").bitwiseAND(1) == 1, SHARED).otherwise(1).alias("w")
+    pairs = lists.filter("c = 2").select(F.col("first").alias("a"), F.col("last").alias("b"), weight)
+    short = members.filter(F.col("c") <= SHORT).select("key", "cid")
+    met = short.select("key", F.col("cid").alias("a")).join(short.select("key", F.col("cid").alias("b")), "key").filter("a < b").select("a", "b", weight)
+    often = pairs.unionByName(met).groupBy("a", "b").agg(F.sum("w").alias("w")).filter(F.col("w") >= SHARED).select("a", "b")
+    # long lists: members against the pivots
+    members = members.filter(F.col("c") > SHORT)
+    star = members.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("cid").alias("b")), F.struct(F.col("cid").alias("a"), F.col("last").alias("b")))).alias("e")).select("e.*").filter("a < b")
     one, two = sign.alias("m"), sign.alias("p")
-    tried = star.join(one, F.col("a") == F.col("m.cid")).join(two, (F.col("b") == F.col("p.cid")) & may_link("m", "p", percent)).select("a", "b")
+    tried = star.unionByName(often).distinct().join(one, F.col("a") == F.col("m.cid")).join(two, (F.col("b") == F.col("p.cid")) & may_link("m", "p", percent)).select("a", "b")
     links = check(scratch.save(tried))
     roots = scratch.save(components(scratch, links))
     # all pairs across components; those within the pivot's component are in no need of it
