@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, langid, mixing, quality, tokens, topk, toxicity, urls
+from . import decontam, jaccard, langid, mixing, quality, repeats, tokens, topk, toxicity, urls
 from .shared import documents as table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": lambda s, d: toxicity.op4(s, table(s, d), table(s, d, "labels")),
         "op5_decontamination": lambda s, d: decontam.op5(s, table(s, d), table(s, d, "benchmark")),
         "op6_mixing": lambda s, d: mixing.op6(s, table(s, d)),
+        "op7_repeats": lambda s, d: repeats.op7(s, table(s, d)),
         "op8_quality": lambda s, d: quality.op8(s, table(s, d), table(s, d, "labels")),
         "op9_language": lambda s, d: langid.op9(s, table(s, d)),
         "op10_ngram_jaccard": lambda s, d: jaccard.op10(s, table(s, d)),
