@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 from . import shared
 
 LEAST, GRAM, FIRST, CROWD, BLOCK = 400, 128, 16, 64, 1 << 20
-#: Rows of a list of places that may be broadcast to the texts; beyond, texts are shuffled to it.
-MOST_BROADCAST = 1_000_000
 STRETCHES = "doc_id long, th long, lo int, hi int, at int, key long, ctx long"
 
 
@@ -179,8 +177,7 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def with_places(texts: DataFrame, places: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
     """Texts with the array `places` of structs of cols that belong to each."""
     rows = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*cols)).alias("places")).withColumnRenamed("doc_id", "id__").withColumnRenamed("th", "th__")
-    small = places.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return texts.join(F.broadcast(rows) if small else rows, (texts["th"] == rows["th__"]) & texts["doc_id"].eqNullSafe(rows["id__"]), how).drop("id__", "th__")
+    return texts.join(rows, (texts["th"] == rows["th__"]) & texts["doc_id"].eqNullSafe(rows["id__"]), how).drop("id__", "th__")
 
 
 def first_stretches(texts: DataFrame, least: int) -> DataFrame:
@@ -251,15 +248,17 @@ def repeated(spark: SparkSession, texts: DataFrame, scratch: shared.Scratch, lea
         scratch.drop(rows)
         found.append(active.filter("even").select("doc_id", "th", "lo", "hi"))
         mixed = active.filter("not even")
-        classes = mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "lo", "hi")])
+        classes = mixed.groupBy("key", "ctx").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "th", "lo", "hi", "at")])
         classes = scratch.save(classes)
         crowded = scratch.save(classes.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > crowd).select("key"))
         runs = scratch.save(indexed(texts, classes.join(crowded, "key", "left_anti"), least))
         found.append(mixed.join(runs, ["key", "ctx"]).select("doc_id", "th", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi")))
         if not width or not crowded.take(1):
             break
-        hot = mixed.join(crowded, "key", "left_semi").select("doc_id", "th", "lo", "hi", "at")
-        rows = scratch.save(next_stretches(texts, hot, width, least))
+        # of a crowded group's equal stretches all repeat, and one stands for them against the others
+        hot = classes.join(crowded, "key", "left_semi")
+        found.append(mixed.join(hot.filter("n > 1").select("key", "ctx"), ["key", "ctx"]).select("doc_id", "th", "lo", "hi"))
+        rows = scratch.save(next_stretches(texts, hot.select("doc_id", "th", "lo", "hi", "at"), width, least))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
