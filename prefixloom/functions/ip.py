@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 
 def power(bits: Column) -> Column:
@@ -73,7 +74,11 @@ def covers(a_first: Column, a_last: Column, b_first: Column, b_last: Column) ->
     return (a_first <= b_first) & (a_last >= b_last)
 
 
-@F.pandas_udf("struct<first: binary, last: binary, length: int>")
+#: Types as objects: a schema in text could only be read with a session at hand, and this module is imported without one.
+V6 = StructType([StructField("first", BinaryType()), StructField("last", BinaryType()), StructField("length", IntegerType())])
+
+
+@F.pandas_udf(V6)
 def ipv6_prefix(text: pd.Series) -> pd.DataFrame:
     """First and last address and length of an IPv6 prefix; nulls where it is none. 128-bit numbers have no SQL type."""
     rows = []
