@@ -204,14 +204,14 @@ q("journal_expire_count", lambda r: r("v_journal").join(F.broadcast(r("v_now")))
 q("journal_expire", lambda r: r("v_journal").join(F.broadcast(r("v_now"))).filter(F.expr("ts >= now - INTERVAL 10 DAYS")).select("serial_global"), "SELECT serial_global FROM {v_journal} j, {v_now} x WHERE ts >= now - INTERVAL 10 DAY")
 
 # ---- order and limits ----
-_rank = F.when(F.col("source") == "SRC3", 0).when(F.col("source") == "SRC1", 1).otherwise(100000)
+_rank = lambda: F.when(F.col("source") == "SRC3", 0).when(F.col("source") == "SRC1", 1).otherwise(100000)
 RANK = "CASE source WHEN 'SRC3' THEN 0 WHEN 'SRC1' THEN 1 ELSE 100000 END"
-_by = [_rank, F.col("ip_first").asc_nulls_last(), F.col("asn_first").asc_nulls_last(), F.col("rpsl_pk")]
+_by = lambda: [_rank(), F.col("ip_first").asc_nulls_last(), F.col("asn_first").asc_nulls_last(), F.col("rpsl_pk")]
 BY = f"{RANK}, ip_first NULLS LAST, asn_first NULLS LAST, rpsl_pk"
-q("order_default", lambda r: objects(r).orderBy(*_by).limit(500).select("rpsl_pk", "source", "object_class", "ip_first"), f"SELECT rpsl_pk, source, object_class, ip_first FROM {{v_objects}} o ORDER BY {BY} LIMIT 500")
+q("order_default", lambda r: objects(r).orderBy(*_by()).limit(500).select("rpsl_pk", "source", "object_class", "ip_first"), f"SELECT rpsl_pk, source, object_class, ip_first FROM {{v_objects}} o ORDER BY {BY} LIMIT 500")
 q("order_status", lambda r: r("v_status").select("source", F.row_number().over(Window.orderBy(F.when(F.col("source") == "view", 0).otherwise(100000), "source")).cast("long").alias("place")), "SELECT source, row_number() OVER (ORDER BY CASE source WHEN 'view' THEN 0 ELSE 100000 END, source) AS place FROM {v_status} s")
 q("order_journal", lambda r: r("v_journal").orderBy("source", "serial_nrtm").limit(200).select("source", "serial_nrtm", "rpsl_pk"), "SELECT source, serial_nrtm, rpsl_pk FROM {v_journal} j ORDER BY source, serial_nrtm LIMIT 200")
-q("limit_first", lambda r: objects(r).filter("object_class = 'route'").orderBy(*_by).limit(1).select("rpsl_pk", "source"), f"SELECT rpsl_pk, source FROM {{v_objects}} o WHERE object_class = 'route' ORDER BY {BY} LIMIT 1")
+q("limit_first", lambda r: objects(r).filter("object_class = 'route'").orderBy(*_by()).limit(1).select("rpsl_pk", "source"), f"SELECT rpsl_pk, source FROM {{v_objects}} o WHERE object_class = 'route' ORDER BY {BY} LIMIT 1")
 q("key_lookup", lambda r: r("v_edges").filter("parent = 'AS-N4'").groupBy("parent").agg(F.min("source").alias("source")), "SELECT parent, min(source) AS source FROM {v_edges} e WHERE parent = 'AS-N4' GROUP BY parent")
 q("changelog_recent", lambda r: r("v_journal").orderBy(F.col("ts").desc(), F.col("serial_global").desc()).limit(50).select("serial_global", "ts"), "SELECT serial_global, ts FROM {v_journal} j ORDER BY ts DESC, serial_global DESC LIMIT 50")
 q("gql_limit", lambda r: objects(r).orderBy("k", "rpsl_pk").limit(20).select("k", "rpsl_pk"), "SELECT k, rpsl_pk FROM {v_objects} o ORDER BY k, rpsl_pk LIMIT 20")
