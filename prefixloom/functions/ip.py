@@ -89,3 +89,14 @@ def ipv6_prefix(text: pd.Series) -> pd.DataFrame:
         except ValueError:
             rows.append((None, None, None))
     return pd.DataFrame(rows, columns=["first", "last", "length"]).astype({"length": "Int32"})
+
+
+def prefix_bits(text: Column) -> Column:
+    """The version and the network bits of an IPv4 or IPv6 prefix as text, like 4:00001010: a prefix lies in another whose bits begin its own."""
+    first, length = prefix(text)
+    four = F.concat(F.lit("4:"), F.lpad(F.conv(first.cast("string"), 10, 2), 32, "0").substr(F.lit(1), length))
+    v6 = ipv6_prefix(text)
+    h = F.hex(v6["first"])
+    half = lambda at: F.lpad(F.conv(F.substring(h, at, 16), 16, 2), 64, "0")
+    six = F.concat(F.lit("6:"), F.concat(half(1), half(17)).substr(F.lit(1), v6["length"]))
+    return F.when(text.contains(":"), six).otherwise(four)
