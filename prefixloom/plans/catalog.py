@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ip, text
 from ..operators import changes, classify, journal, ladder, sets
+from ..sources import registry
 from .views import Relations, inline
 
 _FOUND: dict[str, tuple[Callable[[Relations], DataFrame], str | None]] = {}
@@ -314,3 +315,18 @@ q("rules_check", lambda r: r("v_mnt_by").join(r("v_suspended").select("mntner").
 q("change_status", lambda r: r("v_requests").select("req", F.when(F.col("broken"), "error: parse").when(F.col("req") % 7 == 0, "error: auth").when(F.col("refers_to").isNull(), "ok: leaf").otherwise("ok").alias("status")), "SELECT req, CASE WHEN broken THEN 'error: parse' WHEN req % 7 = 0 THEN 'error: auth' WHEN refers_to IS NULL THEN 'ok: leaf' ELSE 'ok' END AS status FROM {v_requests} r")
 q("change_rpki_scope", lambda r: classify.origin_validity(r("v_routes").filter("pk % 9 = 0"), r("v_roas")).filter("rpki_status = 'invalid'").select("pk"), "SELECT r.pk FROM {v_routes} r JOIN {v_roas} a ON a.ip_first <= r.ip_first AND a.ip_last >= r.ip_last WHERE r.pk % 9 = 0 GROUP BY r.pk HAVING max(CASE WHEN a.asn <> 0 AND a.asn = r.asn AND r.plen <= a.max_length THEN 1 ELSE 0 END) = 0")
 q("database_status", lambda r: r("v_status").join(objects(r).groupBy(F.lower("source").alias("s")).agg(F.count("*").alias("n")), F.col("s") == F.col("source"), "left").select("source", "serial_newest_journal", F.coalesce("n", F.lit(0)).alias("objects")), "SELECT source, serial_newest_journal, (SELECT count(*) FROM {v_objects} o WHERE lower(o.source) = s.source) AS objects FROM {v_status} s")
+
+# ---- sources over literal texts ----
+_body = lambda r, t: r.spark.createDataFrame([(t,)], "body string")
+DUMP = "# head\nroute: 192.0.2.0/24\n% note\ndescr: one\n  two\n\n\n%only\n\nmntner: A\nsource: T\n"
+STREAM = "%START Version: 3 TEST 11-14\n\nADD 11\n\nperson: a\n\nDEL 14\n\nroute: b\n\n%END TEST\n"
+ROA_JSON = '{"roas":[{"asn":64496,"prefix":"192.0.2.0/25","maxLength":26,"ta":"x"},{"asn":"AS64497","prefix":"2001:db8:1::/48","maxLength":48,"ta":"x"},{"asn":"64498","prefix":"198.51.100.0/24","maxLength":24,"ta":"x"}]}'
+SLURM_JSON = '{"slurmVersion":1,"validationOutputFilters":{"prefixFilters":[{"prefix":"192.0.2.0/24"},{"asn":64498}]},"locallyAddedAssertions":{"prefixAssertions":[{"asn":64511,"prefix":"192.0.2.0/24"}]}}'
+q("src_rpsl_paragraphs", lambda r: _body(r, DUMP).select(F.explode(registry.paragraphs_of(F.col("body"))).alias("text")), "SELECT * FROM (VALUES ('route: 192.0.2.0/24' || chr(10) || 'descr: one' || chr(10) || '  two' || chr(10)), ('mntner: A' || chr(10) || 'source: T' || chr(10))) t(text)")
+q("src_rpsl_comments", lambda r: _body(r, DUMP).select(F.explode(registry.paragraphs_of(F.col("body"), False)).alias("text")), "SELECT * FROM (VALUES ('route: 192.0.2.0/24' || chr(10) || '% note' || chr(10) || 'descr: one' || chr(10) || '  two' || chr(10)), ('%only' || chr(10)), ('mntner: A' || chr(10) || 'source: T' || chr(10))) t(text)")
+q("src_roas", lambda r: registry.roas_of(_body(r, ROA_JSON)), "SELECT * FROM (VALUES ('192.0.2.0/25', 64496::BIGINT, 26, 'x'), ('2001:db8:1::/48', 64497::BIGINT, 48, 'x'), ('198.51.100.0/24', 64498::BIGINT, 24, 'x')) t(prefix, asn, max_length, trust_anchor)")
+q("src_slurm", lambda r: registry.apply_slurm(registry.roas_of(_body(r, ROA_JSON)), *registry.slurm_of(_body(r, SLURM_JSON))), "SELECT * FROM (VALUES ('2001:db8:1::/48', 64497::BIGINT, 48, 'x'), ('192.0.2.0/24', 64511::BIGINT, 24, 'SLURM file')) t(prefix, asn, max_length, trust_anchor)")
+q("src_jsonseq", lambda r: _body(r, '\x1e{"v":1}\n\x1e{"v":2}\n').select(F.explode(registry.jsonseq_of(F.col("body"), "v long")).alias("x")).select("x.v"), "SELECT * FROM (VALUES (1::BIGINT), (2::BIGINT)) t(v)")
+q("src_nrtm3", lambda r: registry.mirror_operations(_body(r, STREAM)).select("source", "serial", "operation", "text"), "SELECT * FROM (VALUES ('TEST', 11::BIGINT, 'ADD', 'person: a' || chr(10)), ('TEST', 14::BIGINT, 'DEL', 'route: b' || chr(10))) t(source, serial, operation, text)")
+q("rpsl_parse", lambda r: _body(r, DUMP).select(F.explode(registry.paragraphs_of(F.col("body"))).alias("t")).select(F.inline(registry.attributes_of(F.col("t")))), "SELECT * FROM (VALUES ('route', '192.0.2.0/24'), ('descr', 'one' || chr(10) || 'two'), ('mntner', 'A'), ('source', 'T')) t(name, value)")
+q("fn_ipv6_prefix", lambda r: _body(r, "2001:db8::/32").select(F.lower(F.hex(ip.ipv6_prefix(F.col("body"))["first"])).alias("first"), ip.ipv6_prefix(F.col("body"))["length"].alias("length")), "SELECT '20010db8000000000000000000000000' AS first, 32 AS length")
