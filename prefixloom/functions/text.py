@@ -52,10 +52,10 @@ def list_values(s: Column) -> Column:
     return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def set_name_ok(s: Column, prefix: str = "AS-") -> Column:
+def set_name_ok(s: Column, *prefixes: str) -> Column:
     """One to five parts at colons, each an AS number or a set name, and at least one set name."""
     p = F.split(F.upper(F.trim(s)), ":")
-    name = rf"^{re.escape(prefix)}[A-Z0-9_-]*[A-Z0-9]$"
+    name = rf"^(?:{'|'.join(map(re.escape, prefixes or ('AS-',)))})[A-Z0-9_-]*[A-Z0-9]$"
     return (F.size(p) <= 5) & F.forall(p, lambda x: x.rlike(r"^AS\d+$") | x.rlike(name)) & F.exists(p, lambda x: x.rlike(name))
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import ip, text
 from ..operators import changes, classify, journal, ladder, sets
 from ..sources import registry
+from . import more
 from .views import Relations, inline
 
-_FOUND: dict[str, tuple[Callable[[Relations], DataFrame], str | None]] = {}
+_FOUND: dict[str, tuple[Callable[[Relations], DataFrame], str | None]] = dict(more.ENTRIES)
 
 
 def q(name: str, build: Callable[[Relations], DataFrame], oracle: str | None = None) -> None:
