@@ -34,7 +34,7 @@ def _applied(r, after: int):
 
 def _files(r, other: bool):
     hashed = F.when(L(other) & (C("pk") % 100 == 0), "other").otherwise(F.md5(C("pk").cast("string")))
-    return r("v_routes").filter("pk % 50 = 0").select("source", F.concat(L("delta-"), C("pk").cast("string")).alias("reference"), L("u").alias("url"), hashed.alias("hash"))
+    return r("v_routes").select("source", F.concat(L("delta-"), C("pk").cast("string")).alias("reference"), L("u").alias("url"), hashed.alias("hash"))
 
 
 def _cycle(r):
@@ -43,6 +43,13 @@ def _cycle(r):
     return mirror.server_cycle(r("v_journal"), s)
 
 
+def rs_members(routes):
+    return routes.withColumn("p", F.concat(ip.dotted(C("ip_first")), L("/"), C("plen").cast("string"), L("^"))).select(
+        "pk", fields.route_set_member(F.concat("p", (C("plen") + 1).cast("string"), L("-32"))).alias("ranged"), fields.route_set_member(F.concat("p", (C("plen") - 1).cast("string"))).alias("short"),
+        fields.route_set_member(L("rs-one^+")).alias("named"), fields.route_set_member(L("as1.1^24")).alias("number"), fields.route_set_member(C("p")).alias("missing"),
+    )
+
+
 ENTRIES = {
     "fn_clean_ip_error": (
         lambda r: r("v_mntner").select("rpsl_pk", fields.clean_address_error(F.concat(L("IP('193.0.1.1/21') has invalid prefix length (21) "), C("rpsl_pk"))).alias("said")),
@@ -74,10 +81,7 @@ ENTRIES = {
         "SELECT rpsl_pk, asn_first AS first, asn_last AS last, CAST(NULL AS BIGINT) AS turned FROM {v_asblock} b",
     ),
     "fn_rs_member": (
-        lambda r: r("v_routes").filter("pk % 50 = 0").withColumn("p", F.concat(ip.dotted(C("ip_first")), L("/"), C("plen").cast("string"), L("^"))).select(
-            "pk", fields.route_set_member(F.concat("p", (C("plen") + 1).cast("string"), L("-32"))).alias("ranged"), fields.route_set_member(F.concat("p", (C("plen") - 1).cast("string"))).alias("short"),
-            fields.route_set_member(L("rs-one^+")).alias("named"), fields.route_set_member(L("as1.1^24")).alias("number"), fields.route_set_member(C("p")).alias("missing"),
-        ),
+        lambda r: rs_members(r("v_routes").filter("pk % 50 = 0")),
         "SELECT pk, ((ip_first >> 24) & 255) || '.' || ((ip_first >> 16) & 255) || '.' || ((ip_first >> 8) & 255) || '.' || (ip_first & 255) || '/' || plen || '^' || (plen + 1) || '-32' AS ranged, CAST(NULL AS VARCHAR) AS short, 'RS-ONE^+' AS named, 'AS65537^24' AS number, CAST(NULL AS VARCHAR) AS missing FROM {v_routes} r WHERE pk % 50 = 0",
     ),
     "fn_set_prefix_required": (lambda r: r("v_edges").select("member", fields.hierarchical(F.concat("member", L(":AS-X"))).alias("ok")).distinct(), "SELECT DISTINCT member, regexp_matches(member, '^AS[0-9]+$') AS ok FROM {v_edges} e"),
