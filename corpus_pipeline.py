@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by 3-word shingles the least doc_id stays."""
-    return jaccard.keep_one(spark, docs)
+    """Of each group of documents linked by 5-word shingles, at a similarity of 0.8, the least doc_id stays."""
+    return jaccard.keep_one(spark, docs, percent=80, k=5)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -268,9 +268,9 @@ def op10(spark: SparkSession, documents: DataFrame) -> DataFrame:
     return linked(spark, documents).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(spark: SparkSession, documents: DataFrame) -> DataFrame:
+def keep_one(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """One document of each component, the one with the least doc_id, with its columns; rows without doc_id stay, equal rows become one."""
-    named = linked(spark, documents)
+    named = linked(spark, documents, percent, k)
     gone = named.groupBy("doc_id").agg(F.min(F.col("component_id")).alias("c")).filter("c < doc_id").select(F.col("doc_id").alias("gone__"))
     kept = documents.join(gone, documents["doc_id"] == gone["gone__"], "left_anti")
     twice = named.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()

@@ -254,3 +254,31 @@ def test_pipeline_runs(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     out = pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 50
+
+
+def test_pipeline_keeps_one_of_near_copies(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(17)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 4000, n)]
+    base, long, short = some(120), some(300), some(14)
+    raw = [base, base + some(18), base + some(40), long, list(long), list(long), short, [*short, "more"], short[:9], some(60), base[:3], [*base[:3], "x"], []]
+    for i in range(6):
+        raw[4][20 + 50 * i] = "edit"
+    for i in range(30):
+        raw[5][5 + 10 * i] = "edit"
+    for i in range(14):  # a crowd of copies, each with two words of its own
+        raw.append([f"own{i}", *long[:140], f"end{i}"])
+    raw += [some(int(n)) for n in rng.integers(1, 40, 30)]
+    rows = [(i, " ".join(w), "en", "s", 0, "k", 1) for i, w in enumerate(raw)]
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+
+    sets, root = [shingles(w) for w in raw], list(range(len(raw)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    got = sorted(r.doc_id for r in pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
+    assert got == sorted(set(root)) and not {1, 4} & set(got)
