@@ -1,14 +1,15 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
 Words are runs of letters and digits, lower-cased; shingles are five words (all words of a shorter item). A window has as many
-words as an item (or all words of a shorter document) and stands where it lines up a shingle that it shares with an item of
-that length: windows that share no shingle with any item have similarity 0 and need no fingerprint. Fingerprints of 64 bits
+words as an item (or all words of a shorter document). Of two bags of a and b shingles with similarity t, t / (1 + t) * (a + b)
+are common: every window that has so many places with a shingle of some item of its length is fingerprinted, wherever it
+starts, and no other can reach the similarity. Where such windows stand is found for each distinct text, by its hash. Fingerprints of 64 bits
 are cut into radius + 1 blocks; two that differ in at most `radius` bits agree on a block at least, so joining on (length,
 block, bits) finds every pair within the radius. Candidates are verified by weighted Jaccard similarity of their shingles,
 weighted by how often they occur: at or above `similarity` an item's passage is reported.
 
-DataFrame functions only. Benchmark shingles are joined in slices of at most SLICE rows, each broadcast, so that texts are
-never shuffled, however large the benchmark.
+DataFrame functions only. Benchmark shingles are joined in slices of at most SLICE rows, each broadcast, and the starts found
+are met with their texts again in slices too, so that texts are never shuffled, however large the benchmark.
 
 Nulls: null or word-free texts and items match nothing; a null doc_id is reported as null. Repeated rows give the same matches
 once for each id. Very long texts are read whole. Empty tables give no row. Other columns are ignored, whatever their names.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 SHINGLE, SIMILARITY, RADIUS, SLICE = 5, 0.8, 21, 500_000
+#: Texts with windows to try are met again in slices of at most so many rows.
+TEXTS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -59,27 +62,47 @@ def overlap(a: Column, b: Column) -> Column:
     return F.aggregate(both, F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
 
 
+def starts(at: Column, size: Column, n: Column, similarity: float) -> Column:
+    """Starts of all windows of n words that can have the similarity. at: sorted positions of shared shingles in a text of `size` words."""
+    full = lambda x: F.greatest(F.lit(1), x - (SHINGLE - 1))
+    own = full(F.least(n, size))
+    need = F.greatest(F.lit(1), F.ceil((own + full(n)) * (similarity / (1 + similarity)) - 1e-6).cast("int"))
+    # from each position on: the windows that hold it and the need - 1 next ones
+    first = F.slice(at, 1, F.greatest(F.lit(0), F.size(at) - need + 1))
+    spans = F.transform(first, lambda p, i: F.struct(F.greatest(F.lit(0), F.get(at, i + need - 1) - own + 1).alias("a"), F.least(p, F.greatest(F.lit(0), size - n)).alias("b")))
+    spans = F.filter(spans, lambda x: x["a"] <= x["b"])
+    return F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["a"], x["b"]))))
+
+
 def matches(spark: SparkSession, documents: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, start, n_words, distance, similarity): each document's best window for each item that it holds."""
     scratch = shared.Scratch(spark, "decontam")
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0).withColumn("n", F.size("w"))
     items = items.withColumn("s", shingles(F.col("w")))
     items = scratch.save(items.withColumn("f", simhash(F.col("s"))).withColumn("g", F.least("n", F.lit(SHINGLE))))
-    anchors = items.select("g", "n", F.posexplode("s").alias("at", "gram")).distinct()
+    anchors = items.select("g", "n", F.explode("s").alias("gram")).distinct()
     anchors = scratch.save(anchors)
-    docs = documents.select(F.col("doc_id"), words(F.col("text")).alias("w"))
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    docs = texts.select("h", words(F.col("text")).alias("w"))
     slices = max(1, -(-anchors.count() // SLICE))
     found = None
     for (g,) in anchors.select("g").distinct().orderBy("g").collect():
         for k in range(slices):
             part = anchors.filter((F.col("g") == g) & (F.pmod(F.xxhash64("gram"), F.lit(slices)) == k)).drop("g")
-            hits = docs.select("doc_id", "w", F.posexplode(grams(F.col("w"), g)).alias("pos", "gram")).join(F.broadcast(part), "gram")
-            start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("w") - F.col("n")))
-            hits = hits.select("doc_id", "n", start.alias("start"), F.slice("w", start + 1, F.col("n")).alias("w"))
+            hits = docs.select("h", F.size("w").alias("size"), F.posexplode(grams(F.col("w"), g)).alias("pos", "gram")).join(F.broadcast(part), "gram").select("h", "size", "n", "pos")
             found = hits if found is None else found.unionByName(hits)
     if found is None:
-        found = docs.select("doc_id", F.lit(0).alias("n"), F.lit(0).alias("start"), "w").filter("false")
-    windows = found.distinct().withColumn("s", shingles(F.col("w"))).drop("w").filter(F.size("s") > 0)
+        found = docs.select("h", F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit(0).alias("pos")).filter("false")
+    runs = found.groupBy("h", "n").agg(F.max("size").alias("size"), F.array_sort(F.collect_set("pos")).alias("at"))
+    wanted = runs.select("h", "n", starts(F.col("at"), F.col("size"), F.col("n"), similarity).alias("starts")).filter(F.size("starts") > 0)
+    wanted = scratch.save(wanted.groupBy("h").agg(F.collect_list(F.struct("n", "starts")).alias("at")))
+    pieces, windows = max(1, -(-wanted.count() // TEXTS)), None
+    for k in range(pieces):
+        part = F.broadcast(wanted.filter(F.pmod(F.xxhash64("h"), F.lit(pieces)) == k))
+        piece = texts.join(part, "h").select("doc_id", words(F.col("text")).alias("w"), F.explode("at").alias("x"))
+        piece = piece.select("doc_id", "w", F.col("x.n").alias("n"), F.explode("x.starts").alias("start")).select("doc_id", "n", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
+        windows = piece if windows is None else windows.unionByName(piece)
+    windows = windows.distinct().withColumn("s", shingles(F.col("w"))).drop("w").filter(F.size("s") > 0)
     windows = scratch.save(windows.withColumn("f", simhash(F.col("s"))))
     left = windows.withColumn("x", F.explode(blocks(F.col("f"), radius))).select("doc_id", "start", "n", "s", "f", "x")
     right = items.withColumn("x", F.explode(blocks(F.col("f"), radius))).select("item_id", "n", F.col("s").alias("s2"), F.col("f").alias("f2"), "x")

@@ -144,6 +144,35 @@ def test_decontamination(spark):
     assert decontam.op5(spark, df, bench.filter("false")).count() == 0 == decontam.op5(spark, df.filter("false"), bench).count()
 
 
+def test_decontamination_tries_every_window(spark):
+    rng = np.random.default_rng(6)
+    some = lambda n, of=5000: [f"w{x}" for x in rng.integers(0, of, n)]
+    items = [some(50), some(30), some(30), some(7), some(3), some(40, 4)]
+    a, b = items[0], items[1]
+    raw = [
+        [*some(40), *a[25:], *a[:25], *some(40)], [*a[25:], *a[:25]], [*a[25:], *a[:25], *some(60)], [*some(30), *a[20:], *a[:20], *some(3)], [*some(9), *b[3:], *b[:3], *some(9)],
+        [*some(9), *b[:28], *some(20)], b[:27], b[:25], [*b, *some(4), *b[1:], "x"], [*some(6), *b[:10], *some(30), *b[10:], *some(6)], [*some(5), *items[3], *items[4], *some(5)], [*some(9, 4), *items[5], *some(60, 4)], items[3][:5], some(2), [*a, *b],
+    ]
+    raw.append(list(raw[0]))
+    grams = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+    want = {}
+    for d, w in enumerate(raw):
+        for i, item in enumerate(items):
+            for at in range(max(0, len(w) - len(item)) + 1):
+                x, y = grams(w[at : at + len(item)]), grams(item)
+                same = (x & y).total()
+                s = same / (x.total() + y.total() - same)
+                if s >= 0.8 and s > want.get((d, i), (0, 0))[0]:
+                    want[d, i] = (s, at)
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(raw)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    # with 64 blocks only fingerprints that differ in every bit are kept apart
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontam.matches(spark, docs, bench, radius=63).collect()}
+    assert got == want and {(0, 0), (1, 0), (2, 0), (15, 0)} <= set(got)
+    assert {(0, 0), (15, 0)} <= {(r.doc_id, r.item_id) for r in decontam.op5(spark, docs, bench).collect()}
+    assert not {0, 15} & {r.doc_id for r in decontam.drop_contaminated(spark, docs, bench).collect()}
+
+
 def test_mixing(spark):
     df = table(spark)
     got = mixing.mix(spark, df).collect()
