@@ -189,8 +189,11 @@ def sets_of(documents: DataFrame, wanted: DataFrame, k: int, salt: int, most: in
             sets = shingle_sets(*shared.text_bytes(b.column("text")), k)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), class_ids(sets, salt), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "cid", "shingles"])
 
-    found = texts.mapInArrow(run, "doc_id long, cid long, shingles binary")
-    return found.join(wanted, ["cid", "doc_id"], "left_semi").select("cid", "shingles")
+    schema = "doc_id long, cid long, shingles binary"
+    found = texts.mapInArrow(run, schema).join(wanted, ["cid", "doc_id"], "left_semi").select("cid", "shingles")
+    # classes that only rows without doc_id have; any number of rows may have one
+    rest = id_and_text(documents).filter("doc_id is null").mapInArrow(run, schema).join(wanted.filter("doc_id is null").select("cid"), "cid", "left_semi")
+    return found.unionByName(rest.select("cid", "shingles").dropDuplicates(["cid"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

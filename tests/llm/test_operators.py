@@ -268,6 +268,16 @@ def test_ngram_jaccard(spark):
     assert jaccard.op10(spark, table(spark, [])).count() == 0
 
 
+def test_rows_without_id_link_others(spark):
+    one = [f"w{i}" for i in range(60)]
+    bridge = [*one[:20], "edit", *one[21:]]
+    two = [*bridge[:40], "edit", *bridge[41:]]
+    rows = [(1, one), (None, bridge), (None, bridge), (2, two), (3, ["apart"])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id) for r in jaccard.op10(spark, df).collect())
+    assert got == {(1, 1): 1, (None, 1): 2, (2, 1): 1, (3, 3): 1}
+
+
 def test_small_sets_by_subsets():
     assert [jaccard.left_out(n, 90) for n in (9, 10, 19, 20)] == [0, 1, 1, 2]
     assert 1 <= jaccard.boundary({5: 100, 15: 10, 60: 5}, 90) <= 40
