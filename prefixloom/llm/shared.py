@@ -14,21 +14,51 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch that Spark hands to Python, so that a worker's memory does not depend on how long the texts are.
+BATCH = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir where it is set, else one for a single machine."""
+    """The folder that all executors see: spark.checkpoint.dir where it is set, else one for a single machine; on a cluster it must be set."""
     sc = spark.sparkContext
     if (given := sc.getConf().get("spark.checkpoint.dir")) is None:
-        given = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/prefixloom-checkpoints"
+        given = spark.conf.get("spark.checkpoint.dir", None)
+    if given is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        given = "file:///tmp/prefixloom-checkpoints"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(given)
     return given
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on bytes of Arrow batches to BATCH."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != f"{BATCH}b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH}b")
+
+
+_BASES: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all scratch tables of this process, once nothing reads the operators' results any more."""
+    while _BASES:
+        delete(spark, _BASES.pop())
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage: a lost executor rereads them instead of redoing what led to them."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        bound_batches(spark)
+        _BASES.append(self.base)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -40,8 +70,7 @@ class Scratch:
         """Frees a table that nothing reads any more."""
         for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
             if f.split("://")[-1].lstrip("/").startswith(self.base.split("://")[-1].lstrip("/")) or self.base.split(":", 1)[-1].lstrip("/") in f:
-                path = self.spark._jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                delete(self.spark, f)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

@@ -15,6 +15,7 @@ End positions take about 2 + log2(n_ids / n_docs) bits each, where a table of 64
 
 Nulls: a null text counts as empty, a null doc_id sorts first. Empty texts hold the end id alone. Ties of doc_id
 are ordered by the text's hash, so reruns agree; repeated rows are all kept. An empty table gives no block and no row.
+Texts are encoded whole: one longer than a block is a block of its own.
 Other columns are ignored, whatever their names.
 """
 
@@ -34,6 +35,10 @@ from pyspark.sql import functions as F
 from . import shared
 
 SAMPLE = 64
+#: Ids in a block, and bytes of text in a shard, about.
+BLOCK_IDS, SHARD_BYTES = 1 << 18, 1 << 27
+#: Where the k-th one-bit of a byte stands.
+_IN_BYTE = np.array([([b for b in range(8) if x >> b & 1] + [0] * 8)[:8] for x in range(256)], dtype=np.int64)
 BLOCK_SCHEMA = "shard int, block int, n_docs long, n_ids long, doc_ids array<long>, width int, ids binary, low_bits int, low binary, high binary, samples binary"
 
 
@@ -55,29 +60,26 @@ class EliasFano:
         high[at] = 1
         return cls(n, bits, np.packbits(low, bitorder="little").tobytes(), np.packbits(high, bitorder="little").tobytes(), at[::SAMPLE].astype("<u4").tobytes())
 
-    def select(self, i: int) -> int:
-        """Element i: the sample before it gives where to scan."""
-        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte, skip = at >> 3, at & 7
-        while True:
-            ones = [b for b in range(8) if self.high[byte] >> b & 1 and b >= skip]
-            if left < len(ones):
-                top = (byte << 3) + ones[left] - i
-                break
-            left, byte, skip = left - len(ones), byte + 1, 0
-        low = 0
-        for k in range(self.low_bits):
-            bit = i * self.low_bits + k
-            low |= int(self.low[bit >> 3] >> (bit & 7) & 1) << k
-        return (top << self.low_bits) | low
+    def select(self, i: np.ndarray | int) -> np.ndarray:
+        """Elements i, in any order: each is sought in the bytes between the samples around it."""
+        i = np.atleast_1d(np.asarray(i, dtype=np.int64))
+        if not len(i):
+            return i
+        a, z = i.min() // SAMPLE, i.max() // SAMPLE
+        begin, end = int(self.samples[a]) >> 3, (int(self.samples[z + 1]) >> 3) + 1 if z + 1 < len(self.samples) else len(self.high)
+        part = self.high[begin:end].copy()
+        part[0] &= 0xFF << (int(self.samples[a]) & 7) & 0xFF
+        ones = np.cumsum(np.bitwise_count(part), dtype=np.int64)
+        nth = i - a * SAMPLE
+        byte = np.searchsorted(ones, nth, side="right")
+        top = ((begin + byte) << 3) + _IN_BYTE[part[byte], nth - ones[byte] + np.bitwise_count(part[byte])] - i
+        bit = i[:, None] * self.low_bits + np.arange(self.low_bits)[None, :]
+        low = (self.low[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(np.int64)
+        return (top << self.low_bits) | (low << np.arange(self.low_bits)).sum(axis=1)
 
     def all(self) -> np.ndarray:
         """The whole sequence."""
-        top = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        if not self.low_bits:
-            return top
-        low = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.int64)
-        return (top << self.low_bits) | (low << np.arange(self.low_bits)).sum(axis=1)
+        return self.select(np.arange(self.n))
 
 
 class Encoder(dict):
@@ -92,8 +94,8 @@ class Encoder(dict):
     #: The byte-level pre-tokenizer's pattern, for texts of printable ASCII and Latin-1 letters.
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
     LATIN = re.compile(r" ?[!-~À-ÖØ-öø-ÿ]+")
-    #: Pieces remembered by a worker, about 200 bytes each.
-    MOST = 1_000_000
+    #: Pieces remembered by a worker, about 150 bytes each.
+    MOST = 200_000
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
@@ -144,7 +146,7 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _ENCODERS[path, end_id]
 
 
-def encode_blocks(documents: DataFrame, tokenizer: str, end_id: int, shards: int, block_ids: int = 1 << 21) -> DataFrame:
+def encode_blocks(documents: DataFrame, tokenizer: str, end_id: int, shards: int, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Blocks of the format from (doc_id, text): shards are ranges of doc_id, blocks hold about block_ids ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -178,7 +180,13 @@ def encode_blocks(documents: DataFrame, tokenizer: str, end_id: int, shards: int
     return ordered.mapInArrow(run, BLOCK_SCHEMA)
 
 
-def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, shards: int, block_ids: int = 1 << 21) -> None:
+def shards_for(documents: DataFrame) -> int:
+    """As many shards as shuffle partitions, or more where a shard would hold over SHARD_BYTES of text."""
+    size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return shared.partitions(documents.sparkSession, -(-size // SHARD_BYTES))
+
+
+def write(documents: DataFrame, path: str, tokenizer: str, end_id: int, shards: int, block_ids: int = BLOCK_IDS) -> None:
     """Encodes documents and writes the format's files at path."""
     encode_blocks(documents, tokenizer, end_id, shards, block_ids).write.parquet(path)
 
@@ -222,5 +230,5 @@ def op1(spark: SparkSession, documents: DataFrame, tokenizer: str | None = None,
 
     scratch = shared.Scratch(spark, "tokens")
     path = f"{scratch.base}/ids"
-    write(documents, path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), end_id, shared.partitions(spark))
+    write(documents, path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), end_id, shards_for(documents))
     return digests(read(spark, path))
