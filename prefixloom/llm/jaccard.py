@@ -12,15 +12,16 @@ Rarity is a table of counts of hashed shingles over all rows, of fixed size; any
 for all sets matters.
 
 Short lists give all their pairs, and a pair is followed up if it meets in 3 lists, as chance rarely brings two texts together
-so often. A pair that meets in a long list is followed up there: such a list links by its pivots first (its least and its greatest class): each member against those two. Members that this puts in
-the pivot's component need no pairs among themselves; of the others all pairs across components are tested. So a large group
-of near copies costs about a pair a copy, and no link between components is lost. Parity bitmaps of the sets prune pairs
+so often. A pair that meets in a long list is followed up there: such a list links by pivots first, its least and its greatest
+class, then by drawn ones: strays against a member of the list's largest component, and a stray against all. Members of one
+component need no pairs among themselves; of the strays that are left all pairs across components are tested. So a large
+group of near copies costs a few pairs a copy, and no link between components is lost. Parity bitmaps of the sets prune pairs
 without loss: the bits in which they differ never outnumber the shingles in which the sets differ. What is left is verified
 on the sets themselves, made from the texts again: keeping every set would take more disk than making the few that are needed.
 
 Nulls: a null text has an empty set and no link. A null doc_id never names a component (null if all its ids are). Rows that
 share a doc_id are judged each by their own text. Empty texts and ties of ids need no rule beyond these; an empty table gives
-no row. Other columns are ignored, whatever their names.
+no row. Texts of any length are read whole. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,8 +42,12 @@ from .features import FOLD
 PERCENT, WORDS, BITS = 90, 3, 20
 #: Similar large sets share so many keys at least. Lists of up to SHORT classes give all their pairs.
 SHARED, SHORT = 3, 8
-#: Columns of the parity bitmap, 64 bits each.
-SIGN = [f"s{i}" for i in range(4)]
+#: Rounds of drawn pivots before all pairs of strays are tried.
+ROUNDS = 2
+#: Tables of ids are broadcast up to so many rows (16 bytes each), else joined.
+FEW = 500_000
+#: Columns of the parity bitmap, 64 bits each: so many that near misses of sets of some hundred shingles seldom pass.
+SIGN = [f"s{i}" for i in range(16)]
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, k: int = WORDS) -> list[np.ndarray]:
@@ -138,7 +143,7 @@ def boundary(sizes: dict[int, int], percent: int, list_rows: float = 4.0, most:
 
 
 def keyed(documents: DataFrame, k: int, counts: np.ndarray, bound: int, percent: int, salt: int, bits: int = BITS) -> DataFrame:
-    """(doc_id, n, cid, keys, s0 .. s3) of every row: the keys by which its set meets similar ones, and its parity bitmap."""
+    """(doc_id, n, cid, keys, s0 .. s15) of every row: the keys by which its set meets similar ones, and its parity bitmap."""
     table = documents.sparkSession.sparkContext.broadcast(counts)
     names = ["doc_id", "n", "cid", "keys", *SIGN]
 
@@ -178,32 +183,42 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (differ * (100 + percent) <= (100 - percent) * (na + nb))
 
 
-def sets_of(documents: DataFrame, wanted: DataFrame, k: int, salt: int, most: int = 500_000) -> DataFrame:
-    """(cid, shingles) of the classes (cid, doc_id) wanted, from the texts again. The list of ids is broadcast up to `most` rows; beyond, it is joined."""
-    ids = wanted.select("doc_id").distinct()
-    small = ids.limit(most + 1).count() <= most
-    texts = id_and_text(documents).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+def sets_of(documents: DataFrame, wanted: DataFrame, k: int, salt: int) -> DataFrame:
+    """(cid, shingles) of the classes (cid, doc_id) wanted, from the texts again; shingles by the low 6 bytes of their hashes."""
+    ids = wanted.filter("doc_id is not null").select(F.col("doc_id").alias("id__"), F.col("cid").alias("cid__"))
+    texts = id_and_text(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shared.in_batches(batches):
             sets = shingle_sets(*shared.text_bytes(b.column("text")), k)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), class_ids(sets, salt), pa.array([h.tobytes() for h in sets], pa.binary())], names=["doc_id", "cid", "shingles"])
+            raw = [h.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column("cid__"), class_ids(sets, salt), pa.array(raw, pa.binary())], names=["cid__", "cid", "shingles"])
 
-    schema = "doc_id long, cid long, shingles binary"
-    found = texts.mapInArrow(run, schema).join(wanted, ["cid", "doc_id"], "left_semi").select("cid", "shingles")
+    schema = "cid__ long, cid long, shingles binary"
+    found = texts.join(few(ids), texts["doc_id"] == ids["id__"]).select("cid__", "text").mapInArrow(run, schema).filter("cid = cid__").select("cid", "shingles")
     # classes that only rows without doc_id have; any number of rows may have one
-    rest = id_and_text(documents).filter("doc_id is null").mapInArrow(run, schema).join(wanted.filter("doc_id is null").select("cid"), "cid", "left_semi")
+    rest = texts.filter("doc_id is null").select(F.lit(None).cast("long").alias("cid__"), "text").mapInArrow(run, schema).join(wanted.filter("doc_id is null").select("cid"), "cid", "left_semi")
     return found.unionByName(rest.select("cid", "shingles").dropDuplicates(["cid"]))
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """A table of ids, broadcast if it has at most FEW rows."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity."""
 
+    def set_of(raw: bytes) -> np.ndarray:
+        out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+        out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        return out.view(np.uint64).ravel()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in shared.in_batches(batches, 1 << 24):
+        for b in shared.in_batches(batches):
             keep = []
             for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True):
-                both = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]))
+                both = np.sort(np.concatenate([set_of(x), set_of(y)]))
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * same >= percent * (len(both) - same))
             keep = np.array(keep, dtype=bool)
@@ -211,7 +226,26 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return one.join(few(pairs), "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def with_strays(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, cid, root, stray) of the lists whose members are in several components; strays are not in the list's largest one."""
+    at = members.join(roots, members["cid"] == roots["node"], "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    share = at.groupBy("key", "root").agg(F.count("*").alias("n"))
+    home = share.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("home"), F.count("*").alias("roots")).filter("roots > 1")
+    return at.join(home, "key").select("key", "cid", "root", (F.col("root") != F.col("home")).alias("stray"))
+
+
+def pivot_pairs(scratch: shared.Scratch, mixed: DataFrame, seed: int) -> DataFrame:
+    """Distinct pairs (a, b): in each list the strays with a drawn member of the largest component, and a drawn stray with all of other components."""
+    drawn = F.xxhash64("key", "cid", F.lit(seed))
+    at = [F.min_by(F.when(c, F.struct("cid", "root")), F.when(c, drawn)).alias(name) for name, c in (("h", ~F.col("stray")), ("s", F.col("stray")))]
+    pivots = scratch.save(mixed.groupBy("key").agg(*at))
+    with_home = F.when(F.col("stray"), F.col("h.cid"))
+    with_stray = F.when(F.col("root") != F.col("s.root"), F.col("s.cid"))
+    pair = mixed.join(pivots, "key").select("cid", F.explode(F.array(with_home, with_stray)).alias("pivot")).filter("pivot is not null")
+    return pair.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
 
 
 def linked(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
@@ -219,12 +253,13 @@ def linked(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k:
     scratch = shared.Scratch(spark, "jaccard")
     counts, sizes = statistics(documents, k)
     salt = 0
-    rows = scratch.save(keyed(documents, k, counts, boundary(sizes, percent), percent, salt))
-    sign = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), *[F.min(x).alias(x) for x in SIGN])
-    sign = scratch.save(sign)
-    # one row of each class stands for it: its keys are those of all the others
-    own = rows.select("doc_id", "cid", "keys").join(sign.select("doc_id", "cid"), (rows["cid"] == sign["cid"]) & rows["doc_id"].eqNullSafe(sign["doc_id"]), "left_semi")
-    posts = own.select(F.explode("keys").alias("key"), "cid")
+    whole = scratch.save(keyed(documents, k, counts, boundary(sizes, percent), percent, salt))
+    rows = scratch.save(whole.select("doc_id", "n", "cid"))
+    # one row for each class: equal sets have equal keys and bitmaps
+    sign = scratch.save(whole.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), *[F.first(x).alias(x) for x in SIGN]))
+    scratch.drop(whole)
+    posts = sign.select(F.explode("keys").alias("key"), "cid")
+    sign = sign.drop("keys")
     lists = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first < last")
     lists = scratch.save(lists)
     members = scratch.save(posts.join(lists.filter("c > 2"), "key"))
@@ -236,6 +271,9 @@ def linked(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k:
         scratch.drop(texts)
         return links
 
+    def similar_signs(pairs: DataFrame) -> DataFrame:
+        return pairs.join(sign.alias("m"), F.col("a") == F.col("m.cid")).join(sign.alias("p"), (F.col("b") == F.col("p.cid")) & may_link("m", "p", percent)).select("a", "b")
+
     # short lists: all pairs, of which similar sets have SHARED keys or one equal subset
     weight = F.when(F.col("key").bitwiseAND(1) == 1, SHARED).otherwise(1).alias("w")
     pairs = lists.filter("c = 2").select(F.col("first").alias("a"), F.col("last").alias("b"), weight)
@@ -245,22 +283,25 @@ def linked(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k:
     # long lists: members against the pivots
     members = members.filter(F.col("c") > SHORT)
     star = members.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("cid").alias("b")), F.struct(F.col("cid").alias("a"), F.col("last").alias("b")))).alias("e")).select("e.*").filter("a < b")
-    one, two = sign.alias("m"), sign.alias("p")
-    tried = star.unionByName(often).distinct().join(one, F.col("a") == F.col("m.cid")).join(two, (F.col("b") == F.col("p.cid")) & may_link("m", "p", percent)).select("a", "b")
+    tried = similar_signs(star.unionByName(often).distinct())
     links = check(scratch.save(tried))
     roots = scratch.save(components(scratch, links))
-    # all pairs across components; those within the pivot's component are in no need of it
-    at = members.join(roots, members["cid"] == roots["node"], "left").select("key", "cid", "first", F.coalesce("root", "cid").alias("root"))
-    home = at.filter("cid = first").select("key", F.col("root").alias("home"))
-    mixed = at.join(home, "key").withColumn("stray", F.col("root") != F.col("home"))
-    mixed = mixed.join(mixed.filter("stray").select("key").distinct(), "key", "left_semi")
-    mixed = scratch.save(mixed.join(sign.drop("doc_id"), "cid").select("key", "cid", "root", "stray", "n", *SIGN))
-    cross = mixed.filter("stray").alias("m").join(mixed.alias("p"), (F.col("m.key") == F.col("p.key")) & (F.col("m.root") != F.col("p.root")) & (~F.col("p.stray") | (F.col("m.cid") < F.col("p.cid"))) & may_link("m", "p", percent))
-    rest = scratch.save(cross.select(F.least("m.cid", "p.cid").alias("a"), F.greatest("m.cid", "p.cid").alias("b")).distinct())
-    scratch.drop(mixed)
-    more = check(rest)
-    if more.take(1):
-        roots = scratch.save(components(scratch, links.unionByName(more)))
+    for r in range(ROUNDS + 1):
+        mixed = scratch.save(with_strays(members, roots))
+        if not mixed.take(1):
+            break
+        if r < ROUNDS:
+            pairs = pivot_pairs(scratch, mixed, r)
+        else:
+            # all pairs across components that are left
+            own = scratch.save(mixed.join(sign.drop("doc_id"), "cid").select("key", "cid", "root", "stray", "n", *SIGN))
+            m, p = own.filter("stray").alias("m"), own.alias("p")
+            cross = m.join(p, (F.col("m.key") == F.col("p.key")) & (F.col("m.root") != F.col("p.root")) & (~F.col("p.stray") | (F.col("m.cid") < F.col("p.cid"))) & may_link("m", "p", percent))
+            pairs = cross.select(F.least("m.cid", "p.cid").alias("a"), F.greatest("m.cid", "p.cid").alias("b")).distinct()
+        more = check(scratch.save(similar_signs(pairs) if r < ROUNDS else pairs))
+        scratch.drop(mixed)
+        if more.take(1):
+            roots = scratch.save(components(scratch, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
     named = rows.join(roots, rows["cid"] == roots["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "cid")).alias("root"))
     least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "root", "left")
