@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("prefixloom.llm")
 from prefixloom.llm import components, decontam, features, jaccard, langid, mixing, quality, repeats, shared, tokens, topk, toxicity, urls  # noqa: E402
@@ -144,6 +145,18 @@ def test_decontamination(spark):
     assert decontam.op5(spark, df, bench.filter("false")).count() == 0 == decontam.op5(spark, df.filter("false"), bench).count()
 
 
+def test_fingerprints_and_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)]) for i, n in enumerate((1, 2, 3, 8, 9, 46))]
+    got = spark.createDataFrame(rows, "i int, s array<long>").select("i", decontam.simhash(F.col("s"), 46).alias("f")).collect()
+    for r in got:
+        s = rows[r.i][1]
+        assert r.f % 2**64 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s) > len(s))
+    pair = spark.createDataFrame([([5, -7], [5 ^ 0b111 << 13, -7])], "a array<long>, b array<long>")
+    out = pair.select(decontam.distance(F.col("a"), F.col("b")).alias("d"), F.size(F.array_intersect(decontam.blocks(F.col("a"), 8), decontam.blocks(F.col("b"), 8, 3))).alias("n")).first()
+    assert (out.d, out.n) == (3, 8)
+
+
 def test_decontamination_tries_every_window(spark):
     rng = np.random.default_rng(6)
     some = lambda n, of=5000: [f"w{x}" for x in rng.integers(0, of, n)]
@@ -166,8 +179,8 @@ def test_decontamination_tries_every_window(spark):
                     want[d, i] = (s, at)
     docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(raw)], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
-    # with 64 blocks only fingerprints that differ in every bit are kept apart
-    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontam.matches(spark, docs, bench, radius=63).collect()}
+    # with 128 blocks of a bit only fingerprints that differ in every bit are kept apart
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontam.matches(spark, docs, bench, radius=127, n_blocks=128).collect()}
     assert got == want and {(0, 0), (1, 0), (2, 0), (15, 0)} <= set(got)
     assert {(0, 0), (15, 0)} <= {(r.doc_id, r.item_id) for r in decontam.op5(spark, docs, bench).collect()}
     assert not {0, 15} & {r.doc_id for r in decontam.drop_contaminated(spark, docs, bench).collect()}
