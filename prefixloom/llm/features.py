@@ -207,10 +207,17 @@ def featured(documents: DataFrame, compute: Callable, names: tuple[str, ...]) ->
     return docs.mapInArrow(run, ", ".join(["doc_id long", *[f"f_{x} double" for x in names]]))
 
 
+def drawn(labels: DataFrame, most: int) -> DataFrame:
+    """About 1.25 * most of the rows (doc_id, ...) by a threshold on a hash of the id, all if there are no more: what is sorted and collected after does not grow with the table."""
+    n = labels.count()
+    return labels if n * 4 <= most * 5 else labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * 1.25 * most / n))
+
+
 def labelled_sample(features: DataFrame, labels: DataFrame, label: str, names: tuple[str, ...], most: int, folds: int = 5, held_fold: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, labels and a hash of at most `most` labelled rows outside the held-out fold, in an order that ids alone decide."""
     y = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(shared.fold("doc_id", folds) != held_fold)
     cols = [f"f_{x}" for x in names]
+    y = drawn(y, most)
     rows = y.join(features, "doc_id").select(F.xxhash64("doc_id").alias("h"), "y", *cols).orderBy("h", "y", *cols).limit(most).toPandas()
     return rows[cols].to_numpy(float).reshape(len(rows), len(cols)), rows["y"].to_numpy(float), rows["h"].to_numpy(np.int64)
 

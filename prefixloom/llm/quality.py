@@ -4,7 +4,8 @@ Each class has a mean and a covariance shrunk towards the pooled one and its sca
 label 1 from the difference of Mahalanobis log densities, whose Cholesky factors are computed once. At most `most_rows`
 labelled rows outside the held-out fold are learned from; every whole text is scored.
 
-Nulls, empty texts, repeated rows, missing labels, empty tables and other columns: as for toxicity.
+Nulls, empty texts, repeated rows, missing labels, empty tables and other columns: as for toxicity. Texts of any length are
+read whole; a score on the threshold counts as label 1.
 """
 
 from __future__ import annotations

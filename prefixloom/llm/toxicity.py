@@ -1,12 +1,12 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 At most `most_rows` labelled rows outside the held-out fold are learned from: one half gives a lexicon of words and word
-stems that mark toxic texts, the other grows the trees in numpy, but for a quarter of it that fits the calibration. Every
+stems that mark toxic texts (at most `most_terms` = 20 000, the most frequent in toxic ones), the other grows the trees in numpy, but for a quarter of it that fits the calibration. Every
 whole text is scored.
 
 Nulls: a null text scores as an empty one, a null doc_id is never held out; null labels and labels other than 0 and 1 are
 left out. Repeated rows are scored each, repeated labels count each. With no labels, or one value only, every score is that
-value's (0 without labels). An empty table gives no row. Other columns are ignored, whatever their names.
+value's (0 without labels). Texts of any length are read whole; a score on the threshold counts as label 1. An empty table gives no row. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -163,7 +163,8 @@ def toxicity(spark: SparkSession, documents: DataFrame, labels: DataFrame, most_
     """(doc_id, held_out, score, predicted) of every document."""
     scratch = shared.Scratch(spark, "toxicity")
     known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
-    known = scratch.save(known.filter(shared.fold("doc_id", folds) != held_fold).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "y").limit(most_rows))
+    known = known.filter(shared.fold("doc_id", folds) != held_fold)
+    known = scratch.save(features.drawn(known, most_rows).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "y").limit(most_rows))
     # the lexicon comes from other rows than the trees, so that its counts mean the same on rows it has not seen
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     lexicon = learn_lexicon(scratch.save(texts.join(F.broadcast(known.filter(F.pmod("h", F.lit(2)) == 0)), "doc_id").select("text", "y").repartition(8)))
