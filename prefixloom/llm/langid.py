@@ -3,11 +3,12 @@
 Whole texts run through the network in stretches of `STRETCH` bytes, many at once; either direction starts each stretch from
 rest. Every position gets a distribution over languages; a document's is the mean over all its positions.
 
-Training takes stretches of at most `most_docs` documents outside the held-out fold, drawn evenly over languages.
+Training takes stretches of at most `most_docs` documents outside the held-out fold, drawn evenly over languages. All
+languages are learned: their number, not the corpus, decides the size of the list that reaches the driver.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; a null doc_id is never held out; a null lang teaches
 nothing. Repeated rows are predicted each. With no languages to learn every document is `und`; with one, all with letters get it.
-Very long texts take as many stretches as they need; an empty table gives no row. Other columns are ignored, whatever their names.
+Of equally likely languages the first in code-point order is named. Very long texts take as many stretches as they need; an empty table gives no row. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -189,16 +190,18 @@ def learn(documents: DataFrame, most_docs: int = 4000, folds: int = 3, held_fold
     """Languages in code-point order, and the network that tells them apart."""
     known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0))
     known = known.filter(shared.fold("doc_id", folds) != held_fold).withColumn("h", F.xxhash64("doc_id", F.lit(5)))
-    langs = sorted(r[0] for r in known.select("lang").distinct().limit(1000).collect())
+    langs = sorted(r[0] for r in known.select("lang").distinct().collect())
     if len(langs) < 2:
         return langs, None
-    # at most an equal share of each language; drawn as stretches, so that long texts do not reach the driver whole
+    # at most about an equal share of each language, by a threshold on a hash; drawn as stretches, so that long texts do not reach the driver whole
     share = max(1, most_docs // len(langs))
     size = F.length("text")
     cuts = [F.substring("text", (1 + F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.lit(1), size - STRETCH))).cast("int"), F.lit(STRETCH)) for k in range(per_doc)]
-    rows = []
-    for lang in langs:
-        rows += known.filter(F.col("lang") == lang).select("h", "lang", *[c.alias(f"c{k}") for k, c in enumerate(cuts)]).orderBy("h", "c0").limit(share).collect()
+    limit = known.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(1.25 * share) / F.count("*")).alias("part"))
+    drawn = known.join(F.broadcast(limit), "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.greatest(F.col("part") * (1 << 20), F.lit(1.0)))
+    by = Window.partitionBy("lang").orderBy("h", "c0")
+    drawn = drawn.select("h", "lang", *[c.alias(f"c{k}") for k, c in enumerate(cuts)]).withColumn("nth", F.row_number().over(by)).filter(F.col("nth") <= share)
+    rows = sorted(drawn.collect(), key=lambda r: (r["lang"], r["nth"]))
     data, y = [], []
     for r in rows:
         for k in range(per_doc):
