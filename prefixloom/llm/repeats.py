@@ -244,7 +244,9 @@ def repeated(spark: SparkSession, texts: DataFrame, scratch: shared.Scratch, lea
     rows = scratch.save(first_stretches(texts, least))
     for width in (16, 1, 0):
         groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("c1"), F.max("ctx").alias("c2")).filter("n > 1")
-        active = scratch.save(rows.join(groups.select("key", (F.col("c1") == F.col("c2")).alias("even")), "key"))
+        # tables that are joined are written first: a hot key's rows can then be split over tasks
+        groups = scratch.save(groups.select("key", (F.col("c1") == F.col("c2")).alias("even")))
+        active = scratch.save(rows.join(groups, "key"))
         scratch.drop(rows)
         found.append(active.filter("even").select("doc_id", "th", "lo", "hi"))
         mixed = active.filter("not even")
@@ -256,7 +258,7 @@ def repeated(spark: SparkSession, texts: DataFrame, scratch: shared.Scratch, lea
         if not width or not crowded.take(1):
             break
         # of a crowded group's equal stretches all repeat, and one stands for them against the others
-        hot = classes.join(crowded, "key", "left_semi")
+        hot = scratch.save(classes.join(crowded, "key", "left_semi"))
         found.append(mixed.join(hot.filter("n > 1").select("key", "ctx"), ["key", "ctx"]).select("doc_id", "th", "lo", "hi"))
         rows = scratch.save(next_stretches(texts, hot.select("doc_id", "th", "lo", "hi", "at"), width, least))
     out = found[0]
