@@ -7,7 +7,8 @@ what iterates has a row a host, and links are counted per pair of hosts before a
 
 Nulls and urls without `://`: host and path are empty, and no rule fits; the empty host takes no part in the graph, and its
 verdict is allow. Null or empty html has no links. Repeated rows count each in the seeds' shares; repeated links add to a
-link's weight. An empty table gives no row. Other columns are ignored, whatever their names.
+link's weight. An empty table gives no row. Html of any length is read whole. Of rules of one length the last in order fits; a
+host on the threshold is allowed. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,15 +56,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.select("src", dst.alias("dst")).filter("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(scratch: shared.Scratch, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, change: float = 1e-3) -> DataFrame:
+def propagate(scratch: shared.Scratch, edges: DataFrame, seeds: DataFrame, damping: float = 0.85, change: float = 1e-3) -> DataFrame:
     """(kind, host, mass): one walk for each kind of (kind, src, dst, n), restarting at (kind, host, share); each kind's mass sums to 1.
 
-    A walker at a host without links out restarts too. Rounds end when masses move by less than `change` in all."""
+    A walker at a host without links out restarts too. Rounds end when masses move by less than `change` in all, which they
+    do: each round shrinks the difference by the damping at least."""
     out = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     steps = scratch.save(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all")).alias("p")))
     seeds = scratch.save(seeds)
-    mass = seeds.select("kind", "host", F.col("share").alias("mass"))
-    for _ in range(rounds):
+    mass = scratch.save(seeds.select("kind", "host", F.col("share").alias("mass")))
+    while True:
         moved = mass.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("p") * damping).alias("mass"))
         walked = moved.groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         back = walked.groupBy("kind").agg(F.sum("mass").alias("kept"))
@@ -71,10 +73,10 @@ def propagate(scratch: shared.Scratch, edges: DataFrame, seeds: DataFrame, dampi
         new = walked.unionByName(again).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         new = scratch.save(new)
         delta = new.unionByName(mass.withColumn("mass", -F.col("mass"))).groupBy("kind", "host").agg(F.sum("mass").alias("d")).agg(F.sum(F.abs("d"))).first()[0]
+        scratch.drop(mass)
         mass = new
         if (delta or 0.0) < change:
-            break
-    return mass
+            return mass
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules: tuple = RULES, margin: float = 0.5) -> DataFrame:
