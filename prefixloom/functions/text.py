@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import difflib
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Password schemes whose hashes are masked, and what stands for them.
 HASH_SCHEMES = ("CRYPT-PW", "MD5-PW", "BCRYPT-PW")
 HASH_MASK = "DummyValue  # Filtered for security"
 #: Words that no object may be named after, and how no name may begin.
-RESERVED_WORDS = ("ANY", "AS-ANY", "RS-ANY", "PEERAS", "AND", "OR", "NOT", "ATOMIC", "FROM", "TO", "AT", "ACTION", "ACCEPT", "ANNOUNCE", "EXCEPT", "REFINE", "NETWORKS", "INTO", "INBOUND", "OUTBOUND")
+RESERVED_WORDS = ("ANY", "AS-ANY", "RS_ANY", "PEERAS", "AND", "OR", "NOT", "ATOMIC", "FROM", "TO", "AT", "ACTION", "ACCEPT", "ANNOUNCE", "EXCEPT", "REFINE", "NETWORKS", "INTO", "INBOUND", "OUTBOUND")
 RESERVED_PREFIXES = ("AS-", "RS-", "RTRS-", "FLTR-", "PRNG-")
 
 
@@ -24,8 +27,9 @@ def strip_last_modified(s: Column) -> Column:
 
 
 def lines(s: Column) -> Column:
-    """Lines at newlines only, without carriage returns around them."""
-    return F.transform(F.split(s, "\n"), lambda x: F.regexp_replace(x, r"^\r+|\r+$", ""))
+    """Lines at newlines only, those around the text left out, without carriage returns around them; an empty text has none."""
+    inner = F.regexp_replace(s, r"^\n+|\n+\z", "")
+    return F.when(F.length(s) > 0, F.transform(F.split(inner, "\n"), lambda x: F.regexp_replace(x, r"^\r+|\r+\z", ""))).otherwise(F.array().cast("array<string>"))
 
 
 def camel(s: Column) -> Column:
@@ -72,7 +76,9 @@ def _starts(u: Column) -> Column:
 
 
 def email_ok(s: Column) -> Column:
-    return s.rlike(r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+$")
+    """A local part, and a domain of letters, digits, dots and dashes or an address in brackets."""
+    local, domain = r"[a-z0-9$!#%&\"*+/=?^_`{|}~\\.-]+", r"(?:[a-z0-9\\.-]+|\[\d+\.\d+\.\d+\.\d+\]|\[[a-f\d:]+\])"
+    return s.rlike(f"(?i)^{local}@{domain}$")
 
 
 def fingerprint(s: Column) -> Column:
@@ -98,3 +104,35 @@ def render(names_and_values: list[tuple[str, Column]]) -> Column:
 def wire(s: Column) -> Column:
     """An answer framed by its length in bytes; nothing to say is C alone."""
     return F.when(s.isNull() | (s == ""), F.lit("C\n")).otherwise(F.concat(F.lit("A"), (F.octet_length(s) + 1).cast("string"), F.lit("\n"), s, F.lit("\nC\n")))
+
+
+def render_lines(attributes: Column, last_modified: Column | None = None) -> Column:
+    """Text of an array of struct(name, value): names padded to 16 characters, empty values after the bare name, further
+    lines after 16 places, which begin with a plus where the line is empty. With a time, older last-modified lines give way to one of it."""
+    pad = " " * 15
+
+    def one(x: Column) -> Column:
+        further = lambda v: F.concat(F.when(v == "", "+").otherwise(" "), F.lit(pad), v)
+        rows = lines(x["value"])
+        rest = F.transform(F.slice(rows, 2, F.greatest(F.lit(0), F.size(rows) - 1)), further)
+        first = F.concat(F.rpad(F.concat(x["name"], F.lit(":")), F.greatest(F.lit(16), F.length(x["name"]) + 1), " "), F.get(rows, 0))
+        return F.when(F.size(rows) == 0, F.concat(x["name"], F.lit(":"))).otherwise(F.concat_ws("\n", first, rest))
+
+    if last_modified is not None:
+        attributes = F.concat(F.filter(attributes, lambda x: x["name"] != "last-modified"), F.array(F.struct(F.lit("last-modified").alias("name"), iso_utc(last_modified).alias("value"))))
+    return F.concat(F.array_join(F.transform(attributes, one), "\n"), F.lit("\n"))
+
+
+def template_line(name: Column, width: Column, optional: Column, multiple: Column, primary: Column, lookup: Column, strong: Column, referring: Column) -> Column:
+    """A line of a class's template: name, need, number, keys and references."""
+    key = F.when(primary & lookup, "primary/look-up key").when(primary, "primary key").when(lookup, "look-up key")
+    refers = F.when(F.size(referring) > 0, F.concat(F.when(strong, "strong").otherwise("weak"), F.lit(" references "), F.array_join(referring, "/")))
+    need, number = F.when(optional, "[optional] ").otherwise("[mandatory]"), F.when(multiple, "[multiple]").otherwise("[single]  ")
+    return F.concat(name, F.lit(": "), F.repeat(F.lit(" "), (width - F.length(name)).cast("int")), F.lit("  "), need, F.lit("  "), number, F.lit("  ["), F.concat_ws(", ", key, refers), F.lit("]"))
+
+
+@F.pandas_udf(StringType())
+def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Unified difference of two texts, without the lines of file names; null where either is null."""
+    told = lambda a, b: None if a is None or b is None else "\n".join([*difflib.unified_diff(a.strip("\n").split("\n"), b.strip("\n").split("\n"), lineterm="")][2:])
+    return pd.Series([told(a, b) for a, b in zip(old, new, strict=True)], dtype=object)

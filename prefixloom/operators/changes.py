@@ -16,13 +16,13 @@ def inbound_references(objects: DataFrame, refs: DataFrame, pk: str, ref: str) -
     return objects.join(refs.select(F.col(ref).alias(pk)), pk, "left_semi")
 
 
-def fixpoint(requests: DataFrame, rounds: int = 100) -> DataFrame:
+def fixpoint(requests: DataFrame) -> DataFrame:
     """(req, valid): requests (req, batch, refers_to, broken) from which those that are broken go, then those that refer to one
-    that went, until nothing changes. A round is a semi-join of what is left to what just went."""
+    that went, until nothing changes. A round is a semi-join of what is left to what just went, and drops a request at least."""
     gone = cut(requests.filter("broken").select("req", "batch"))
     front = gone
     left = requests.filter("not broken").select("req", "batch", "refers_to")
-    for _ in range(rounds):
+    while True:
         lost = front.select(F.col("req").alias("refers_to"), "batch")
         front = cut(left.join(lost, ["refers_to", "batch"], "left_semi").select("req", "batch").join(gone, ["req", "batch"], "left_anti"))
         if not front.take(1):

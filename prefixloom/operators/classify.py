@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ip
-from .ladder import containing, rungs
+from .ladder import containing
+
+
+def _place(rows: DataFrame) -> list[str]:
+    """The columns that make up a prefix, its length among them."""
+    return ["bits", "plen"] if "bits" in rows.columns else ["ip_first", "plen"]
 
 
 def origin_validity(routes: DataFrame, roas: DataFrame, skip_sources: tuple[str, ...] = ()) -> DataFrame:
     """pk, rpki_status: valid if a covering authorisation has the route's origin (never AS 0) and allows its length, invalid if
     one covers it and none fits, else not_found. Authorisations of one prefix and origin count by their largest max_length, so
     that a short prefix with many authorisations costs a row an origin."""
-    roas = roas.groupBy("ip_first", "plen", "asn").agg(F.max("max_length").alias("max_length"))
+    roas = roas.groupBy(*_place(roas), "asn").agg(F.max("max_length").alias("max_length"))
     pairs = containing(routes.filter(~F.col("source").isin(*skip_sources)) if skip_sources else routes, roas)
     fits = (F.col("o_asn") != 0) & (F.col("o_asn") == F.col("asn")) & (F.col("plen") <= F.col("o_max_length"))
     judged = pairs.groupBy("pk").agg(F.max(fits.cast("int")).alias("fits"))
@@ -39,18 +44,24 @@ def _any(parts: list[Column]) -> Column:
 
 def preference(routes: DataFrame, preferences: DataFrame) -> DataFrame:
     """pk, status: a route is suppressed if any route that covers it, is covered by it, or has its prefix stands in a source of
-    strictly higher preference; routes of sources without preference are `excluded`.
+    strictly higher preference; routes of sources without preference are visible and count for nobody.
 
     Prefixes are reduced to their highest preference first; each covering pair of prefixes is found once and used both ways."""
+    place = _place(routes)
     rated = routes.join(F.broadcast(preferences), "source", "left")
-    best = rated.filter("pref is not null").groupBy("ip_first", "plen").agg(F.max("pref").alias("pref"))
-    up = rungs(best, best)
-    over = best.select(F.col("ip_first").alias("b_net"), F.col("plen").alias("b_len"), F.col("pref").alias("b_pref"))
-    pairs = up.join(over, (up["o_net"] == over["b_net"]) & (up["o_len"] == over["b_len"])).select("ip_first", "plen", "pref", "b_net", "b_len", "b_pref")
-    both = pairs.select("ip_first", "plen", F.col("b_pref").alias("other")).unionByName(pairs.select(F.col("b_net").alias("ip_first"), F.col("b_len").alias("plen"), F.col("pref").alias("other")))
-    top = both.groupBy("ip_first", "plen").agg(F.max("other").alias("top"))
-    status = F.when(F.col("pref").isNull(), "excluded").when(F.col("top") > F.col("pref"), "suppressed").otherwise("visible")
-    return rated.join(top, ["ip_first", "plen"], "left").select("pk", status.alias("status"))
+    best = rated.filter("pref is not null").groupBy(*place).agg(F.max("pref").alias("pref"))
+    pairs = containing(best, best)
+    both = pairs.select(*place, F.col("o_pref").alias("other")).unionByName(pairs.select(*[F.col(f"o_{c}").alias(c) for c in place], F.col("pref").alias("other")))
+    top = both.groupBy(*place).agg(F.max("other").alias("top"))
+    status = F.when(F.col("top") > F.col("pref"), "suppressed").otherwise("visible")
+    return rated.join(top, place, "left").select("pk", status.alias("status"))
+
+
+def permitted(addresses: DataFrame, entries: DataFrame, address: str = "ip_first") -> DataFrame:
+    """addresses with `permitted`: whether any entry (ip_first, ip_last) holds the address. A configured list, so a semi-join by range is cheap."""
+    held = entries.select(F.col("ip_first").alias("a_first"), F.col("ip_last").alias("a_last"))
+    inside = F.col(address).between(F.col("a_first"), F.col("a_last"))
+    return addresses.join(held, inside, "left_semi").withColumn("permitted", F.lit(True)).unionByName(addresses.join(held, inside, "left_anti").withColumn("permitted", F.lit(False)))
 
 
 def visible(rpki: str = "rpki_status", scoped: str = "scopefilter_status", preferred: str = "route_preference_status") -> Column:

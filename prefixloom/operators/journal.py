@@ -28,8 +28,8 @@ def next_serials(status: DataFrame, journal: DataFrame) -> DataFrame:
 
 def snapshot_diff(new: DataFrame, old: DataFrame, key: str = "pk", body: str = "body") -> DataFrame:
     """(key, change): new, deleted, modified or retained, from one full outer join."""
-    a, b = new.select(key, F.col(body).alias("new_body")), old.select(key, F.col(body).alias("old_body"))
-    change = F.when(F.col("old_body").isNull(), "new").when(F.col("new_body").isNull(), "deleted").when(F.col("new_body") != F.col("old_body"), "modified").otherwise("retained")
+    a, b = new.select(key, F.col(body).alias("new_body"), F.lit(True).alias("is_new")), old.select(key, F.col(body).alias("old_body"), F.lit(True).alias("is_old"))
+    change = F.when(F.col("is_old").isNull(), "new").when(F.col("is_new").isNull(), "deleted").when(~F.col("new_body").eqNullSafe(F.col("old_body")), "modified").otherwise("retained")
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
 
 

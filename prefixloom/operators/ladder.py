@@ -3,6 +3,9 @@
 A prefix lies within another exactly if its network, cut to the other's length, is the other's network. So each row of the
 inside side becomes one row for every length that the outside side really has (at most 33), and both sides meet in a hash or
 sort-merge join on (length, network). The list of lengths has at most 33 rows, so it may be broadcast whatever the data.
+
+Rows with a column `bits` (functions.ip.prefix_bits: family and network bits as text) may be of both address families: the
+network that contains one is then a beginning of its bits, and there are at most 162 lengths.
 """
 
 from __future__ import annotations
@@ -21,6 +24,23 @@ def rungs(inside: DataFrame, outside: DataFrame, first: str = "ip_first", length
 
 def containing(inside: DataFrame, outside: DataFrame, how: str = "inner") -> DataFrame:
     """Pairs of a row of inside and a row of outside that contains it; outside's columns get the prefix o_."""
+    if "bits" in inside.columns:
+        return containing_bits(inside, outside, how)
     up = rungs(inside, outside)
     out = outside.select(*[F.col(c).alias(f"o_{c}") for c in outside.columns])
     return up.join(out, (up["o_len"] == out["o_plen"]) & (up["o_net"] == out["o_ip_first"]), how).drop("o_len", "o_net")
+
+
+def containing_bits(inside: DataFrame, outside: DataFrame, how: str = "inner") -> DataFrame:
+    """The same for rows with bits."""
+    lengths = outside.select(F.length("bits").alias("cut__")).distinct()
+    up = inside.join(F.broadcast(lengths), F.col("cut__") <= F.length("bits")).withColumn("begins__", F.col("bits").substr(F.lit(1), F.col("cut__")))
+    out = outside.select(*[F.col(c).alias(f"o_{c}") for c in outside.columns])
+    return up.join(out, up["begins__"] == out["o_bits"], how).drop("cut__", "begins__")
+
+
+def next_less_specific(queries: DataFrame, rows: DataFrame, query: str) -> DataFrame:
+    """Of the rows that contain a query's prefix without being equal to it those of the longest prefix."""
+    over = containing(queries, rows).filter(F.col("o_bits") != F.col("bits"))
+    best = over.groupBy(query).agg(F.max(F.length("o_bits")).alias("longest__"))
+    return over.join(best, query).filter(F.length("o_bits") == F.col("longest__")).drop("longest__")

@@ -1,11 +1,13 @@
 """The graph of sets and members: first source wins, closure, depth, exclusion, and members by reference.
 
 Closures run level by level over DataFrames: each round joins the frontier to the edges and keeps what was not seen. Rounds are
-as many as the graph is deep; every few of them the lineage is cut with a checkpoint.
+as many as the graph is deep; each writes what it found to a table.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,17 +23,20 @@ def first_source(edges: DataFrame, sources: list[str]) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the folder that all executors share: computed once, and a lost executor rereads it."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file:///tmp/prefixloom-checkpoints")
-    return df.checkpoint()
+    given = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if given is None and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{given or 'file:///tmp/prefixloom-checkpoints'}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None, excluded: list[str] | None = None) -> DataFrame:
     """(root, member) reached from (root) over (parent, member): AS numbers, and at the depth cut what the last level holds.
 
     Sets that no edge expands are leaves and dropped, but at the cut. Excluded sets are not expanded, unless they are the root."""
-    known = edges.select(F.col("parent").alias("name")).distinct()
     seen = cut(roots.select("root", F.col("root").alias("name")))
     front, level = seen, 0
     while True:
@@ -49,8 +54,6 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None, exclud
     out = seen.filter(F.col("name") != F.col("root"))
     if not depth:
         out = out.filter(F.col("name").rlike(AS_NUMBER))
-    else:
-        out = out.join(known.withColumn("is_set", F.lit(1)), "name", "left").filter(F.col("name").rlike(AS_NUMBER) | F.lit(True))
     return out.select("root", F.col("name").alias("member"))
 
 
@@ -71,5 +74,5 @@ def ordered_unique(names: DataFrame, aliases: dict[str, list[str]]) -> DataFrame
     """(source, position): requested names with aliases replaced by what they stand for, each source at its first place."""
     table = F.create_map(*[x for k, v in aliases.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     many = names.select(F.col("position"), F.posexplode(F.coalesce(table[F.col("name")], F.array("name"))).alias("inner", "source"))
-    first = many.groupBy("source").agg(F.min(F.col("position") * 1000 + F.col("inner")).alias("at"))
+    first = many.groupBy("source").agg(F.min(F.struct("position", "inner")).alias("at"))
     return first.select("source", F.row_number().over(Window.orderBy("at")).cast("long").alias("position"))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import ip, text
 from ..operators import changes, classify, journal, ladder, sets
 from ..sources import registry
-from . import more
+from . import mixed, more
 from .views import Relations, inline
 
-_FOUND: dict[str, tuple[Callable[[Relations], DataFrame], str | None]] = dict(more.ENTRIES)
+_FOUND: dict[str, tuple[Callable[[Relations], DataFrame], str | None]] = dict(more.ENTRIES) | mixed.ENTRIES
 
 
 def q(name: str, build: Callable[[Relations], DataFrame], oracle: str | None = None) -> None:
@@ -100,7 +100,7 @@ q("key_fields_only", lambda r: r("v_edges").select("parent", "member").dropDupli
 q("import_class_filter", lambda r: objects(r).filter(F.col("object_class").isin("route", "as-block")).groupBy("object_class").agg(F.count("*").alias("n")), "SELECT object_class, count(*) AS n FROM {v_objects} o WHERE object_class IN ('route', 'as-block') GROUP BY object_class")
 q("maintained_objects", lambda r: r("v_routes").join(r("v_mnt_by").filter("mntner in ('MNT-1', 'MNT-2')").select("pk", "mntner").distinct(), "pk").filter("(mntner = 'MNT-1' and source = 'SRC1') or (mntner = 'MNT-2' and source = 'SRC2')").select("pk", "mntner", "source"),
   "SELECT DISTINCT r.pk, m.mntner, r.source FROM {v_routes} r JOIN {v_mnt_by} m ON r.pk = m.pk WHERE (m.mntner, r.source) IN (('MNT-1', 'SRC1'), ('MNT-2', 'SRC2'))")
-q("acl_check", lambda r: r("v_inetnum").join(F.broadcast(r("v_acl").select("acl", F.col("ip_first").alias("a_first"), F.col("ip_last").alias("a_last"))), F.col("ip_first").between(F.col("a_first"), F.col("a_last")), "left").select("pk", F.col("acl").isNotNull().alias("permitted")),
+q("acl_check", lambda r: classify.permitted(r("v_inetnum"), r("v_acl")).select("pk", "permitted"),
   "SELECT pk, EXISTS (SELECT 1 FROM {v_acl} a WHERE i.ip_first BETWEEN a.ip_first AND a.ip_last) AS permitted FROM {v_inetnum} i")
 q("set_members_ipv4_only", lambda r: r("v_routes").filter("pk % 40 = 0").select("pk", ip.dotted(F.col("ip_first")).alias("member")).filter(~F.col("member").contains(":")), "SELECT pk, ((ip_first >> 24) & 255) || '.' || ((ip_first >> 16) & 255) || '.' || ((ip_first >> 8) & 255) || '.' || (ip_first & 255) AS member FROM {v_routes} r WHERE pk % 40 = 0")
 whole("set_members_ipv4_only", lambda r: r("v_routes").select("pk", ip.dotted(F.col("ip_first")).alias("member")).filter(~F.col("member").contains(":")), " WHERE pk % 40 = 0")
@@ -118,7 +118,7 @@ q("rpki_validate_one", lambda r: classify.origin_validity(r("v_routes").filter("
 PREFERENCE = """WITH b AS (SELECT ip_first, ip_last, plen, max(pref) AS pref FROM {v_routes} r JOIN {v_pref} p ON r.source = p.source GROUP BY ip_first, ip_last, plen),
  t AS (SELECT x.ip_first, x.plen, max(y.pref) AS top FROM b x JOIN b y ON (y.ip_first <= x.ip_first AND y.ip_last >= x.ip_last) OR (y.ip_first >= x.ip_first AND y.ip_last <= x.ip_last) GROUP BY x.ip_first, x.plen)"""
 q("route_preference", lambda r: classify.preference(r("v_routes"), r("v_pref")),
-  PREFERENCE + " SELECT r.pk, CASE WHEN p.pref IS NULL THEN 'excluded' WHEN t.top > p.pref THEN 'suppressed' ELSE 'visible' END AS status FROM {v_routes} r LEFT JOIN {v_pref} p ON r.source = p.source LEFT JOIN t ON r.ip_first = t.ip_first AND r.plen = t.plen")
+  PREFERENCE + " SELECT r.pk, CASE WHEN t.top > p.pref THEN 'suppressed' ELSE 'visible' END AS status FROM {v_routes} r LEFT JOIN {v_pref} p ON r.source = p.source LEFT JOIN t ON r.ip_first = t.ip_first AND r.plen = t.plen")
 
 
 def preference_subset(r: Relations) -> DataFrame:
@@ -130,7 +130,7 @@ def preference_subset(r: Relations) -> DataFrame:
 
 
 q("route_preference_subset", preference_subset,
-  PREFERENCE + " SELECT r.pk, CASE WHEN p.pref IS NULL THEN 'excluded' WHEN t.top > p.pref THEN 'suppressed' ELSE 'visible' END AS status FROM {v_routes} r LEFT JOIN {v_pref} p ON r.source = p.source LEFT JOIN t ON r.ip_first = t.ip_first AND r.plen = t.plen WHERE EXISTS (SELECT 1 FROM {v_routes} u WHERE u.pk % 200 = 0 AND ((u.ip_first <= r.ip_first AND u.ip_last >= r.ip_last) OR (u.ip_first >= r.ip_first AND u.ip_last <= r.ip_last)))")
+  PREFERENCE + " SELECT r.pk, CASE WHEN t.top > p.pref THEN 'suppressed' ELSE 'visible' END AS status FROM {v_routes} r LEFT JOIN {v_pref} p ON r.source = p.source LEFT JOIN t ON r.ip_first = t.ip_first AND r.plen = t.plen WHERE EXISTS (SELECT 1 FROM {v_routes} u WHERE u.pk % 200 = 0 AND ((u.ip_first <= r.ip_first AND u.ip_last >= r.ip_last) OR (u.ip_first >= r.ip_first AND u.ip_last <= r.ip_last)))")
 q("scope_filter", lambda r: r("v_routes").select("pk", classify.scope(r("v_routes"), [(167772160, 168820735)], [(64520, 64525), (64530, 64530)]).alias("status")),
   "SELECT pk, CASE WHEN ip_first <= 168820735 AND ip_last >= 167772160 THEN 'out_scope_prefix' WHEN asn BETWEEN 64520 AND 64525 OR asn = 64530 THEN 'out_scope_as' ELSE 'in_scope' END AS status FROM {v_routes} r")
 q("set_indirect_members", lambda r: sets.by_reference(r("v_rs"), r("v_member_of"), r("v_mnt_by")), "SELECT DISTINCT s.set_pk, m.pk FROM {v_rs} s JOIN {v_member_of} m ON s.set_pk = m.set_pk WHERE s.mbrs_by_ref = 'ANY' OR EXISTS (SELECT 1 FROM {v_mnt_by} b WHERE b.pk = m.pk AND b.mntner = s.mbrs_by_ref)")
@@ -304,7 +304,7 @@ q("wire_format", lambda r: r("documents").select("doc_id", F.octet_length(text.w
 # ---- scalar functions over texts and literals ----
 q("fn_mask_hashes", lambda r: r("v_mntner").select("rpsl_pk", text.mask_hashes(F.concat(F.lit("mntner: "), F.col("rpsl_pk"), F.lit("\nauth: md5-pw $1$abc\nauth: CRYPT-PW x y\nsource: A"))).alias("masked")), "SELECT rpsl_pk, 'mntner: ' || rpsl_pk || chr(10) || 'auth: md5-pw DummyValue  # Filtered for security' || chr(10) || 'auth: CRYPT-PW DummyValue  # Filtered for security' || chr(10) || 'source: A' AS masked FROM {v_mntner} m")
 q("fn_strip_last_modified", lambda r: r("v_mntner").select("rpsl_pk", text.strip_last_modified(F.concat(F.lit("a: 1\nlast-modified: 2020-01-01\nm: "), F.col("rpsl_pk"))).alias("kept")), "SELECT rpsl_pk, 'a: 1' || chr(10) || 'm: ' || rpsl_pk AS kept FROM {v_mntner} m")
-q("fn_split_lines", lambda r: r("documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("i", "line")).select("doc_id", F.col("i").cast("long").alias("i"), F.md5("line").alias("h")), "SELECT doc_id, i - 1 AS i, md5(trim(s[i], chr(13))) AS h FROM (SELECT doc_id, string_split(text, chr(10)) AS s, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {documents} d) x")
+q("fn_split_lines", lambda r: r("documents").select("doc_id", F.posexplode(text.lines(F.col("text"))).alias("i", "line")).select("doc_id", F.col("i").cast("long").alias("i"), F.md5("line").alias("h")), "SELECT doc_id, i - 1 AS i, md5(trim(s[i], chr(13))) AS h FROM (SELECT doc_id, string_split(trim(text, chr(10)), chr(10)) AS s, unnest(range(1, len(string_split(trim(text, chr(10)), chr(10))) + 1)) AS i FROM {documents} d WHERE text <> '') x")
 q("fn_camel", lambda r: r("v_person").select("rpsl_pk", text.camel(F.concat(F.lit("mnt_by-"), F.lower("rpsl_pk"), F.lit("-new_key"))).alias("name")), "SELECT rpsl_pk, 'mntBy' || rpsl_pk || 'NewKey' AS name FROM {v_person} p")
 q("fn_normalise_value", lambda r: r("v_mntner").select("rpsl_pk", text.normalise_value(F.concat(F.lit(" a # x\n\n"), F.col("rpsl_pk"), F.lit(" \n# only\nb"))).alias("v")), "SELECT rpsl_pk, 'a,' || rpsl_pk || ',b' AS v FROM {v_mntner} m")
 q("fn_attr_pairs", lambda r: r("v_mntner").select("rpsl_pk", F.explode(text.fold_continuations(F.concat(F.lit("mntner: "), F.col("rpsl_pk"), F.lit("\ndescr: one\n  two\n+three\nsource: A")))).alias("line")), "SELECT rpsl_pk, unnest(['mntner: ' || rpsl_pk, 'descr: one' || chr(1) || 'two' || chr(1) || 'three', 'source: A']) AS line FROM {v_mntner} m")
@@ -330,7 +330,7 @@ q("fn_json_exists", lambda r: r("events").select("event_id", F.map_contains_key(
 q("fn_json_roundtrip", lambda r: r("events").select("event_id", F.to_json(F.from_json("props", "k long")).alias("j")), """SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS j FROM {events} e""")
 q("fn_array_concat", lambda r: r("v_mnt_by").groupBy("pk").agg(F.array_join(F.array_sort(F.array_distinct(F.concat(F.collect_list("mntner"), F.array(F.lit("MNT-0"))))), " ").alias("m")), "SELECT pk, array_to_string(list_sort(list_distinct(list_append(list(mntner), 'MNT-0'))), ' ') AS m FROM {v_mnt_by} b GROUP BY pk")
 q("fn_set_name", lambda r: r("v_edges").select("member", text.set_name_ok(F.col("member")).alias("ok")).distinct(), "SELECT DISTINCT member, regexp_full_match(member, 'AS-[A-Z0-9_-]*[A-Z0-9]') AS ok FROM {v_edges} e")
-q("fn_generic_name", lambda r: r("v_mntner").select("rpsl_pk", text.generic_name_ok(F.col("rpsl_pk")).alias("ok"), text.generic_name_ok(F.lit("as-any")).alias("bad")), "SELECT rpsl_pk, true AS ok, false AS bad FROM {v_mntner} m")
+q("fn_generic_name", lambda r: r("v_mntner").select("rpsl_pk", text.generic_name_ok(F.col("rpsl_pk")).alias("ok"), text.generic_name_ok(F.lit("as-any")).alias("bad"), text.generic_name_ok(F.lit("rs_any")).alias("word")), "SELECT rpsl_pk, true AS ok, false AS bad, false AS word FROM {v_mntner} m")
 q("render_ov_state", lambda r: objects(r).filter("object_class = 'route'").select("k", F.concat(F.lit("rpki-ov-state:  "), F.col("rpki_status")).alias("line")), "SELECT k, 'rpki-ov-state:  ' || rpki_status AS line FROM {v_objects} o WHERE object_class = 'route'")
 q("notify_targets", lambda r: r("v_requests").join(r("v_mnt_by").withColumnRenamed("pk", "req"), "req").join(r("v_mntner"), F.col("mntner") == F.col("rpsl_pk")).filter("req % 10 = 1").groupBy("mnt_nfy").agg(F.countDistinct("req").alias("n")), "SELECT mnt_nfy, count(DISTINCT req) AS n FROM {v_requests} r JOIN {v_mnt_by} b ON r.req = b.pk JOIN {v_mntner} m ON b.mntner = m.rpsl_pk WHERE req % 10 = 1 GROUP BY mnt_nfy")
 whole("notify_targets", lambda r: r("v_requests").join(r("v_mnt_by").withColumnRenamed("pk", "req"), "req").join(r("v_mntner"), F.col("mntner") == F.col("rpsl_pk")).groupBy("mnt_nfy").agg(F.countDistinct("req").alias("n")), " WHERE req % 10 = 1")

@@ -1,7 +1,7 @@
 """Attribute values, submissions and mirroring decisions on small frames, nulls and empty texts included."""
 
-from prefixloom.functions import fields
-from prefixloom.operators import mirror
+from prefixloom.functions import fields, text
+from prefixloom.operators import mirror, submissions
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,29 @@ def test_operations_and_versions(spark):
     notices = status.select("source", F.lit("t").alias("n_session"), F.lit(5).cast("long").alias("n_version"), F.lit(4).cast("long").alias("min_delta"))
     got = {r.source: (r.action, r.version) for r in mirror.next_versions(status, notices).collect()}
     assert got == {"new": ("snapshot", None), "moved": ("snapshot", None), "next": ("delta", 4), "gap": ("snapshot", None), "ahead": ("error", None), "forced": ("snapshot", None)}
+
+
+def test_lines_names_and_mail(spark):
+    df = spark.createDataFrame([("\na\r\n\nb\u2028c\n\n",), ("\n",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.lines(F.col("t"))).collect()] == [["a", "", "b\u2028c"], [""], [], []]
+    names = spark.createDataFrame([("rs_any",), ("RS-ANY",), ("good-name",)], "t string")
+    assert [r[0] for r in names.select(text.generic_name_ok(F.col("t"))).collect()] == [False, False, True]
+    mail = spark.createDataFrame([("a@[192.0.2.1]",), ("a@[2001:db8::1]",), ("a@localhost",), ("a b@example.net",), ("a@exa mple",), ("a@",)], "t string")
+    assert [r[0] for r in mail.select(text.email_ok(F.col("t"))).collect()] == [True, True, True, False, False, False]
+
+
+def test_rendering_and_differences(spark):
+    got = spark.range(1).select(
+        text.render_lines(F.array(F.struct(F.lit("descr").alias("name"), F.lit("one\n\ntwo").alias("value")), F.struct(F.lit("remarks").alias("name"), F.lit("").alias("value")))).alias("body"),
+        text.unified_diff(F.lit("a\nb"), F.lit("a\nc")).alias("diff"),
+        text.unified_diff(F.lit(None).cast("string"), F.lit("a")).alias("none"),
+    ).first()
+    assert got.body == "descr:          one\n+               \n" + " " * 16 + "two\nremarks:\n"
+    assert (got.diff, got.none) == ("@@ -1,2 +1,2 @@\n a\n-b\n+c", None)
+
+
+def test_suspensions_and_wide_queries(spark):
+    rows = spark.createDataFrame([("suspend", "mntner", True), ("SUSPEND", "person", True), ("stop", "mntner", True), ("reactivate", "mntner", None), (None, None, None)], "k string, c string, e boolean")
+    assert [r[0] for r in rows.select(submissions.suspension_status(F.col("k"), F.col("c"), F.col("e"))).collect()] == ["processing", "error: parsing", "error: parsing", "error: non-authoritative source", "error: parsing"]
+    asked = spark.createDataFrame([(["sources"], None), (["sources", "asn"], None), (["rpki_status"], ["valid"]), (["rpki_status"], ["valid", "invalid"])], "f array<string>, s array<string>")
+    assert [r[0] for r in asked.select(submissions.specific_enough(F.col("f"), F.col("s"))).collect()] == [False, True, True, False]

@@ -3,7 +3,7 @@
 import ipaddress
 
 from prefixloom.functions import ip
-from prefixloom.operators import classify, journal, sets
+from prefixloom.operators import changes, classify, journal, ladder, sets
 from pyspark.sql import functions as F
 
 
@@ -26,7 +26,7 @@ def test_preference(spark):
     r = spark.createDataFrame([(k, s, *prefix(p)) for k, s, p in rows], "pk string, source string, ip_first long, plen int, ip_last long")
     p = spark.createDataFrame([("HIGH-A", 900), ("HIGH-B", 900), ("LOW", 200), ("LOWEST", 100)], "source string, pref int")
     got = {x.pk: x.status for x in classify.preference(r, p).collect()}
-    assert got == dict.fromkeys("ABI", "visible") | dict.fromkeys("CDEF", "suppressed") | {"G": "excluded"}
+    assert got == dict.fromkeys("ABGI", "visible") | dict.fromkeys("CDEF", "suppressed")
 
 
 def test_closure_with_cycle_leaf_depth_and_exclusion(spark):
@@ -65,3 +65,32 @@ def test_plans_have_no_cartesian_product(spark):
     for name in ("rpki_validate_bulk", "route_preference", "route_parent", "ip_more_specific"):
         plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
+
+
+def test_both_address_families(spark):
+    routes = spark.createDataFrame([(1, "192.0.2.0/24", 24, 1, "A"), (2, "192.0.2.0/25", 25, 2, "A"), (3, "2001:db8::/32", 32, 1, "A"), (4, "2001:db8:1::/48", 48, 1, "B"), (5, "2001:db9::/32", 32, 9, "B")], "pk long, prefix string, plen int, asn long, source string")
+    roas = spark.createDataFrame([("192.0.2.0/24", 24, 24, 1), ("2001:db8::/32", 32, 40, 1), ("::/0", 0, 0, 7)], "prefix string, plen int, max_length int, asn long")
+    routes, roas = (t.withColumn("bits", ip.prefix_bits(F.col("prefix"))) for t in (routes, roas))
+    got = {r.pk: r.rpki_status for r in classify.origin_validity(routes, roas).collect()}
+    assert got == {1: "valid", 2: "invalid", 3: "valid", 4: "invalid", 5: "invalid"}
+    rated = spark.createDataFrame([("A", 10), ("B", 20)], "source string, pref int")
+    assert {r.pk: r.status for r in classify.preference(routes, rated).collect()} == {1: "visible", 2: "visible", 3: "suppressed", 4: "visible", 5: "visible"}
+    asked = spark.createDataFrame([(1, "2001:db8:1:2::/64")], "q long, prefix string").select("q", ip.prefix_bits(F.col("prefix")).alias("bits"))
+    assert [r.o_pk for r in ladder.next_less_specific(asked, routes, "q").collect()] == [4]
+
+
+def test_diff_of_null_bodies(spark):
+    new, old = (spark.createDataFrame(x, "pk long, body string") for x in ([(1, None), (2, "a"), (3, "b"), (4, None)], [(1, None), (2, None), (5, None), (3, "b")]))
+    assert {r.pk: r.change for r in journal.snapshot_diff(new, old).collect()} == {1: "retained", 2: "modified", 3: "retained", 4: "new", 5: "deleted"}
+
+
+def test_address_in_two_entries_comes_once(spark):
+    a = spark.createDataFrame([(1, 5), (2, 50), (3, None)], "pk long, ip_first long")
+    acl = spark.createDataFrame([(0, 10), (5, 6)], "ip_first long, ip_last long")
+    assert sorted((r.pk, r.permitted) for r in classify.permitted(a, acl).collect()) == [(1, True), (2, False), (3, False)]
+
+
+def test_long_chains_of_changes(spark):
+    rows = [(i, 1, i + 1 if i < 14 else None, i == 14) for i in range(15)] + [(20, 1, None, False)]
+    got = {r.req: r.valid for r in changes.fixpoint(spark.createDataFrame(rows, "req long, batch long, refers_to long, broken boolean")).collect()}
+    assert got == dict.fromkeys(range(15), False) | {20: True}
