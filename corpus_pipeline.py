@@ -1,4 +1,10 @@
-"""A training-data pipeline of five corpus operators; each stage reads what its predecessor wrote."""
+"""A training-data pipeline of five corpus operators; each stage reads what its predecessor wrote.
+
+Null, empty and word-free texts are kept by the first three stages and dropped by the mix, which takes no word of them. Rows
+that share a doc_id share their fate in every stage; rows without doc_id are kept by the stage of near copies and judged
+together by the others. Texts of any length are read whole. Ties are settled by doc_id. Extra columns are carried on, whatever
+their names, to the last stage. An empty table gives no row.
+"""
 
 from __future__ import annotations
 
@@ -48,7 +54,7 @@ STAGES = [
     ("token_output", write_tokens),
 ]
 
-#: Trees, fingerprints and a tokenizer have no SQL form; tests hold run() against brute force.
+#: Trees, fingerprints and a tokenizer have no SQL form; tests hold each stage's operator and the stage of near copies against brute force.
 ORACLE_SQL = None
 
 
