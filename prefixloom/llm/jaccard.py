@@ -14,7 +14,8 @@ for all sets matters.
 Short lists give all their pairs, and a pair is followed up if it meets in 3 lists, as chance rarely brings two texts together
 so often. A pair that meets in a long list is followed up there: such a list links by pivots first, its least and its greatest
 class, then by drawn ones: strays against a member of the list's largest component, and a stray against all. Members of one
-component need no pairs among themselves; of the strays that are left all pairs across components are tested. So a large
+component need no pairs among themselves; of the strays that are left all pairs across components are tested that meet in 3
+lists, long or short. So a large
 group of near copies costs a few pairs a copy, and no link between components is lost. Parity bitmaps of the sets prune pairs
 without loss: the bits in which they differ never outnumber the shingles in which the sets differ. What is left is verified
 on the sets themselves, made from the texts again: keeping every set would take more disk than making the few that are needed.
@@ -259,10 +260,12 @@ def linked(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k:
     sign = scratch.save(whole.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), *[F.first(x).alias(x) for x in SIGN]))
     scratch.drop(whole)
     posts = sign.select(F.explode("keys").alias("key"), "cid")
-    sign = sign.drop("keys")
     lists = posts.groupBy("key").agg(F.count("*").alias("c"), F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first < last")
     lists = scratch.save(lists)
-    members = scratch.save(posts.join(lists.filter("c > 2"), "key"))
+    members = scratch.save(posts.join(few(lists.filter("c > 2")), "key"))
+
+    keys, sign = sign, scratch.save(sign.drop("keys"))
+    scratch.drop(keys)
 
     def check(pairs: DataFrame) -> DataFrame:
         names = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
@@ -279,7 +282,8 @@ def linked(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k:
     pairs = lists.filter("c = 2").select(F.col("first").alias("a"), F.col("last").alias("b"), weight)
     short = members.filter(F.col("c") <= SHORT).select("key", "cid")
     met = short.select("key", F.col("cid").alias("a")).join(short.select("key", F.col("cid").alias("b")), "key").filter("a < b").select("a", "b", weight)
-    often = pairs.unionByName(met).groupBy("a", "b").agg(F.sum("w").alias("w")).filter(F.col("w") >= SHARED).select("a", "b")
+    short = scratch.save(pairs.unionByName(met).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    often = short.filter(F.col("w") >= SHARED).select("a", "b")
     # long lists: members against the pivots
     members = members.filter(F.col("c") > SHORT)
     star = members.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("cid").alias("b")), F.struct(F.col("cid").alias("a"), F.col("last").alias("b")))).alias("e")).select("e.*").filter("a < b")
@@ -293,11 +297,13 @@ def linked(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k:
         if r < ROUNDS:
             pairs = pivot_pairs(scratch, mixed, r)
         else:
-            # all pairs across components that are left
+            # all pairs across components that are left; long lists that hold both are all in `mixed`, so their meetings can be counted
             own = scratch.save(mixed.join(sign.drop("doc_id"), "cid").select("key", "cid", "root", "stray", "n", *SIGN))
             m, p = own.filter("stray").alias("m"), own.alias("p")
             cross = m.join(p, (F.col("m.key") == F.col("p.key")) & (F.col("m.root") != F.col("p.root")) & (~F.col("p.stray") | (F.col("m.cid") < F.col("p.cid"))) & may_link("m", "p", percent))
-            pairs = cross.select(F.least("m.cid", "p.cid").alias("a"), F.greatest("m.cid", "p.cid").alias("b")).distinct()
+            often = cross.select(F.col("m.key").alias("key"), F.least("m.cid", "p.cid").alias("a"), F.greatest("m.cid", "p.cid").alias("b")).select("a", "b", weight).groupBy("a", "b").agg(F.sum("w").alias("w"))
+            often = often.join(short.withColumnRenamed("w", "more"), ["a", "b"], "left")
+            pairs = often.filter(F.col("w") + F.coalesce("more", F.lit(0)) >= SHARED).select("a", "b")
         more = check(scratch.save(similar_signs(pairs) if r < ROUNDS else pairs))
         scratch.drop(mixed)
         if more.take(1):
