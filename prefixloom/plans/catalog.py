@@ -20,16 +20,6 @@ def q(name: str, build: Callable[[Relations], DataFrame], oracle: str | None = N
     _FOUND[name] = (build, oracle)
 
 
-def whole(name: str, build: Callable[[Relations], DataFrame], *cuts: str) -> None:
-    """Registers name_all: the answer for every row, where `name` gives it for a sample of ids. The SQL of `name` stays as it is; that of name_all is the same without the cuts."""
-    sql = _FOUND[name][1]
-    for cut in cuts:
-        if cut not in sql:
-            raise ValueError(f"{name}: {cut!r} is not in its SQL")
-        sql = sql.replace(cut, "")
-    q(f"{name}_all", build, sql)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: (lambda spark, sf_dir, b=b: b(Relations(spark, sf_dir))) for k, (b, _) in _FOUND.items()}
 
@@ -76,8 +66,8 @@ def less_specific(r: Relations) -> DataFrame:
 q("ip_less_specific", lambda r: less_specific(r).select("q", F.col("o_pk").alias("pk")), "SELECT q, pk FROM {v_queries} q JOIN {v_routes} r ON r.ip_first <= q_first AND r.ip_last >= q_last")
 q("ip_less_specific_one", lambda r: (lambda d: d.join(d.groupBy("q").agg(F.max("o_plen").alias("o_plen")), ["q", "o_plen"]).select("q", F.col("o_pk").alias("pk")))(less_specific(r).filter("o_plen <> 26")),
   "SELECT q, pk FROM (SELECT q, pk, rank() OVER (PARTITION BY q ORDER BY plen DESC) AS rk FROM {v_queries} q JOIN {v_routes} r ON r.ip_first <= q_first AND r.ip_last >= q_last AND r.plen <> 26) t WHERE rk = 1")
-q("ip_more_specific", lambda r: ladder.containing(r("v_routes"), r("v_routes").filter("pk % 50 = 0")).filter("plen > o_plen").select(F.col("o_pk").alias("q"), "pk"),
-  "SELECT q.pk AS q, r.pk FROM {v_routes} q JOIN {v_routes} r ON r.ip_first >= q.ip_first AND r.ip_last <= q.ip_last AND r.plen > q.plen WHERE q.pk % 50 = 0")
+q("ip_more_specific", lambda r: ladder.containing(r("v_routes"), r("v_routes").filter("pk % 100 = 0")).filter("plen > o_plen").select(F.col("o_pk").alias("q"), "pk"),
+  "SELECT q.pk AS q, r.pk FROM {v_routes} q JOIN {v_routes} r ON r.ip_first >= q.ip_first AND r.ip_last <= q.ip_last AND r.plen > q.plen WHERE q.pk % 100 = 0")
 q("ip_any", lambda r: (lambda rt, a: ladder.containing(rt, a).select(F.col("o_pk").alias("q"), "pk").unionByName(ladder.containing(a, rt).select(F.col("pk").alias("q"), F.col("o_pk").alias("pk"))).distinct())(r("v_routes"), r("v_routes").filter("pk % 100 = 0")),
   "SELECT q.pk AS q, r.pk FROM {v_routes} q JOIN {v_routes} r ON (r.ip_first >= q.ip_first AND r.ip_last <= q.ip_last) OR (r.ip_first <= q.ip_first AND r.ip_last >= q.ip_last) WHERE q.pk % 100 = 0")
 q("asn_exact", lambda r: objects(r).filter("asn_first = 64520 and asn_last = 64520").select(*_cols), f"SELECT {OBJ} FROM {{v_objects}} o WHERE asn_first = 64520 AND asn_last = 64520")
@@ -90,8 +80,7 @@ q("text_search", lambda r: (lambda o: o.filter((F.col("object_class").isin("as-b
 q("journal_before", lambda r: r("v_journal").join(F.broadcast(r("v_now"))).filter(F.col("ts") < F.expr("now - INTERVAL 5 DAYS")).select("serial_global", "source"), "SELECT serial_global, source FROM {v_journal} j, {v_now} n WHERE ts < now - INTERVAL 5 DAY")
 q("journal_serial_range", lambda r: r("v_journal").filter(F.col("serial_nrtm").between(10, 20) | (F.col("serial_global") >= 900)).select("serial_global", "source", "serial_nrtm"), "SELECT serial_global, source, serial_nrtm FROM {v_journal} j WHERE serial_nrtm BETWEEN 10 AND 20 OR serial_global >= 900")
 q("suspended_by_mntner", lambda r: r("v_suspended").filter(F.array_contains(F.array("mntner"), "MNT-7")), "SELECT * FROM {v_suspended} s WHERE mntner = 'MNT-7'")
-q("roa_covering", lambda r: ladder.containing(r("v_routes").filter("pk % 20 = 0"), r("v_roas")).select("pk", F.col("o_roa").alias("roa")), "SELECT r.pk, a.roa FROM {v_routes} r JOIN {v_roas} a ON a.ip_first <= r.ip_first AND a.ip_last >= r.ip_last WHERE r.pk % 20 = 0")
-whole("roa_covering", lambda r: ladder.containing(r("v_routes"), r("v_roas")).select("pk", F.col("o_roa").alias("roa")), " WHERE r.pk % 20 = 0")
+q("roa_covering", lambda r: ladder.containing(r("v_routes"), r("v_roas")).select("pk", F.col("o_roa").alias("roa")), "SELECT r.pk, a.roa FROM {v_routes} r JOIN {v_roas} a ON a.ip_first <= r.ip_first AND a.ip_last >= r.ip_last")
 q("flt_protected", lambda r: r("v_protected").filter("protected_name = 'P26' and source = 'SRC1'"), "SELECT * FROM {v_protected} p WHERE protected_name = 'P26' AND source = 'SRC1'")
 q("resolver_defaults", lambda r: objects(r).filter(F.col("source").isin("SRC0", "SRC2") & (F.col("object_class") == "route") & classify.visible()).select(*_cols), f"SELECT {OBJ} FROM {{v_objects}} o WHERE source IN ('SRC0', 'SRC2') AND object_class = 'route' AND {VISIBLE}")
 q("gql_projection", lambda r: objects(r).select("k", "rpsl_pk", "object_class", F.when(F.col("plen").isNotNull(), F.concat(ip.dotted(F.col("ip_first")), F.lit("/"), F.col("plen").cast("string"))).alias("prefix"), F.when(F.col("asn_first") == F.col("asn_last"), F.col("asn_first")).alias("asn")),
@@ -102,8 +91,7 @@ q("maintained_objects", lambda r: r("v_routes").join(r("v_mnt_by").filter("mntne
   "SELECT DISTINCT r.pk, m.mntner, r.source FROM {v_routes} r JOIN {v_mnt_by} m ON r.pk = m.pk WHERE (m.mntner, r.source) IN (('MNT-1', 'SRC1'), ('MNT-2', 'SRC2'))")
 q("acl_check", lambda r: classify.permitted(r("v_inetnum"), r("v_acl")).select("pk", "permitted"),
   "SELECT pk, EXISTS (SELECT 1 FROM {v_acl} a WHERE i.ip_first BETWEEN a.ip_first AND a.ip_last) AS permitted FROM {v_inetnum} i")
-q("set_members_ipv4_only", lambda r: r("v_routes").filter("pk % 40 = 0").select("pk", ip.dotted(F.col("ip_first")).alias("member")).filter(~F.col("member").contains(":")), "SELECT pk, ((ip_first >> 24) & 255) || '.' || ((ip_first >> 16) & 255) || '.' || ((ip_first >> 8) & 255) || '.' || (ip_first & 255) AS member FROM {v_routes} r WHERE pk % 40 = 0")
-whole("set_members_ipv4_only", lambda r: r("v_routes").select("pk", ip.dotted(F.col("ip_first")).alias("member")).filter(~F.col("member").contains(":")), " WHERE pk % 40 = 0")
+q("set_members_ipv4_only", lambda r: r("v_routes").select("pk", ip.dotted(F.col("ip_first")).alias("member")).filter(~F.col("member").contains(":")), "SELECT pk, ((ip_first >> 24) & 255) || '.' || ((ip_first >> 16) & 255) || '.' || ((ip_first >> 8) & 255) || '.' || (ip_first & 255) AS member FROM {v_routes} r")
 q("mask_unless_manager", lambda r: r("v_mntner").select("rpsl_pk", F.when(F.col("rpsl_pk").isin("MNT-1", "MNT-2"), F.concat(F.lit("auth: MD5-PW $1$"), F.col("rpsl_pk"))).otherwise(text.mask_hashes(F.concat(F.lit("auth: MD5-PW $1$"), F.col("rpsl_pk")))).alias("shown")),
   "SELECT rpsl_pk, CASE WHEN rpsl_pk IN ('MNT-1', 'MNT-2') THEN 'auth: MD5-PW $1$' || rpsl_pk ELSE 'auth: MD5-PW DummyValue  # Filtered for security' END AS shown FROM {v_mntner} m")
 q("roa_pseudo_objects", lambda r: r("v_roas").select(F.concat(ip.dotted(F.col("ip_first")), F.lit("/"), F.col("plen").cast("string"), F.lit("AS"), F.col("asn").cast("string"), F.lit("/ML"), F.col("max_length").cast("string")).alias("rpsl_pk"), F.lit("RPKI").alias("source"), F.lit("valid").alias("rpki_status")),
@@ -170,13 +158,12 @@ def route_parent(r: Relations, rt: DataFrame) -> DataFrame:
     return best.select("pk", F.col("m.kind").alias("kind"), F.col("m.parent").alias("parent"))
 
 
-q("route_parent", lambda r: route_parent(r, r("v_routes").filter("pk % 20 = 0")), """SELECT pk, kind, parent FROM (SELECT pk, kind, parent, row_number() OVER (PARTITION BY pk ORDER BY kind, size, parent) AS n FROM (
-    SELECT r.pk, CASE WHEN i.ip_first = r.ip_first AND i.ip_last = r.ip_last THEN 0 ELSE 1 END AS kind, i.ip_last - i.ip_first AS size, i.pk AS parent FROM {v_routes} r JOIN {v_inetnum} i ON i.source = r.source AND i.ip_first <= r.ip_first AND i.ip_last >= r.ip_last WHERE r.pk % 20 = 0
-    UNION ALL SELECT r.pk, 2, o.ip_last - o.ip_first, 'R' || o.pk FROM {v_routes} r JOIN {v_routes} o ON o.source = r.source AND o.ip_first <= r.ip_first AND o.ip_last >= r.ip_last AND o.plen < r.plen WHERE r.pk % 20 = 0) c) d WHERE n = 1""")
-whole("route_parent", lambda r: route_parent(r, r("v_routes")), " WHERE r.pk % 20 = 0")
+q("route_parent", lambda r: route_parent(r, r("v_routes")), """SELECT pk, kind, parent FROM (SELECT pk, kind, parent, row_number() OVER (PARTITION BY pk ORDER BY kind, size, parent) AS n FROM (
+    SELECT r.pk, CASE WHEN i.ip_first = r.ip_first AND i.ip_last = r.ip_last THEN 0 ELSE 1 END AS kind, i.ip_last - i.ip_first AS size, i.pk AS parent FROM {v_routes} r JOIN {v_inetnum} i ON i.source = r.source AND i.ip_first <= r.ip_first AND i.ip_last >= r.ip_last
+    UNION ALL SELECT r.pk, 2, o.ip_last - o.ip_first, 'R' || o.pk FROM {v_routes} r JOIN {v_routes} o ON o.source = r.source AND o.ip_first <= r.ip_first AND o.ip_last >= r.ip_last AND o.plen < r.plen) c) d WHERE n = 1""")
 q("set_parent", lambda r: r.sql("SELECT 'AS' || CAST(64512 + n_nationkey AS STRING) || ':AS-N' || CAST(n_nationkey AS STRING) AS set_pk FROM {nation}").withColumn("rpsl_pk", F.split_part("set_pk", F.lit(":"), F.lit(1))).join(r("v_autnum"), "rpsl_pk").select("set_pk", F.col("rpsl_pk").alias("parent"), "source"),
   "SELECT 'AS' || (64512 + n_nationkey) || ':AS-N' || n_nationkey AS set_pk, a.rpsl_pk AS parent, a.source FROM {nation} n JOIN {v_autnum} a ON a.rpsl_pk = 'AS' || (64512 + n_nationkey)")
-CONTACTS = "SELECT DISTINCT b.pk, c.email FROM {v_mnt_by} b JOIN (SELECT rpsl_pk, mnt_nfy AS email FROM {v_mntner} m1 UNION ALL SELECT m.rpsl_pk, p.email FROM {v_mntner} m JOIN {v_person} p ON m.admin_c = p.rpsl_pk) c ON b.mntner = c.rpsl_pk WHERE b.pk % 7 = 0"
+CONTACTS = "SELECT DISTINCT b.pk, c.email FROM {v_mnt_by} b JOIN (SELECT rpsl_pk, mnt_nfy AS email FROM {v_mntner} m1 UNION ALL SELECT m.rpsl_pk, p.email FROM {v_mntner} m JOIN {v_person} p ON m.admin_c = p.rpsl_pk) c ON b.mntner = c.rpsl_pk"
 
 
 def contacts(r: Relations, by: DataFrame) -> DataFrame:
@@ -190,12 +177,9 @@ def contact_rollup(r: Relations, c: DataFrame) -> DataFrame:
     return c.join(r("v_routes").select("pk", "source"), "pk").groupBy("email").agg(F.countDistinct("pk").alias("objects"), F.array_join(F.array_sort(F.collect_set("source")), " ").alias("sources"))
 
 
-_seventh = lambda r: r("v_mnt_by").filter("pk % 7 = 0")
-q("rpki_contacts", lambda r: contacts(r, _seventh(r)), CONTACTS)
-whole("rpki_contacts", lambda r: contacts(r, r("v_mnt_by")), " WHERE b.pk % 7 = 0")
-q("contact_rollup", lambda r: contact_rollup(r, contacts(r, _seventh(r))),
+q("rpki_contacts", lambda r: contacts(r, r("v_mnt_by")), CONTACTS)
+q("contact_rollup", lambda r: contact_rollup(r, contacts(r, r("v_mnt_by"))),
   f"SELECT email, count(DISTINCT c.pk) AS objects, string_agg(DISTINCT source, ' ' ORDER BY source) AS sources FROM ({CONTACTS}) c JOIN {{v_routes}} r ON c.pk = r.pk GROUP BY email")
-whole("contact_rollup", lambda r: contact_rollup(r, contacts(r, r("v_mnt_by"))), " WHERE b.pk % 7 = 0")
 q("slurm_filter", lambda r: r("v_roas").filter(~((F.col("asn") == 64520) | ((F.col("ip_first") >= 167772160) & (F.col("ip_last") <= 168820735)) | ((F.col("asn") == 64530) & (F.col("ip_first") >= 176160768) & (F.col("ip_last") <= 184549375)))).select("roa"),
   "SELECT roa FROM {v_roas} a WHERE NOT (asn = 64520 OR (ip_first >= 167772160 AND ip_last <= 168820735) OR (asn = 64530 AND ip_first >= 176160768 AND ip_last <= 184549375))")
 q("pgp_key_lookup", lambda r: (lambda p: p.select(F.col("rpsl_pk").alias("key_cert"), F.upper(F.md5("rpsl_pk")).alias("fp")).join(p.filter("length(name) % 3 = 0").select(F.upper(F.md5("rpsl_pk")).alias("signed")), (F.right("fp", F.lit(8)) == F.right("signed", F.lit(8))) & (F.col("fp") == F.col("signed"))).select("key_cert"))(r("v_person")),
@@ -258,9 +242,8 @@ q("set_members_per_source", per_source, f"""WITH RECURSIVE f AS ({FIRST}), e AS
  w(root, name) AS (SELECT DISTINCT parent || '@' || source, parent || '@' || source FROM {{v_edges}} y WHERE parent LIKE 'AS-N%' UNION SELECT w.root, e.member FROM w JOIN e ON e.parent = w.name) SELECT root, name AS member FROM w WHERE regexp_matches(name, '^AS[0-9]+$')""")
 q("as_set_prefixes", lambda r: sets.closure(_edges(r), _roots(r)).withColumn("asn", F.regexp_extract("member", r"(\d+)", 1).cast("long")).join(r("v_routes").select("asn", "ip_first", "plen").distinct(), "asn").select("root", "ip_first", "plen").distinct(),
   f"SELECT DISTINCT c.root, r.ip_first, r.plen FROM ({REACH % ''}) c JOIN {{v_routes}} r ON 'AS' || r.asn = c.member")
-q("route_set_members", lambda r: (lambda m: m.filter(F.col("pk") % 2 == 0).select("set_pk", F.concat(F.lit("R"), F.col("pk").cast("string"), F.lit("^+")).alias("member")).unionByName(m.filter(F.col("pk") % 2 == 1).select("set_pk", (64512 + F.col("pk") % 50).alias("asn")).distinct().join(r("v_routes").filter("source = 'SRC0'"), "asn").select("set_pk", F.concat(F.lit("R"), F.col("pk").cast("string")).alias("member")).distinct()))(r("v_member_of").filter("set_pk in ('RS-3', 'RS-9') and pk % 5 = 3")),
-  "SELECT set_pk, 'R' || pk || '^+' AS member FROM {v_member_of} m WHERE set_pk IN ('RS-3', 'RS-9') AND pk % 5 = 3 AND pk % 2 = 0 UNION ALL SELECT * FROM (SELECT DISTINCT m.set_pk, 'R' || r.pk AS member FROM {v_member_of} m JOIN {v_routes} r ON r.asn = 64512 + m.pk % 50 AND r.source = 'SRC0' WHERE m.set_pk IN ('RS-3', 'RS-9') AND m.pk % 5 = 3 AND m.pk % 2 = 1) x")
-whole("route_set_members", lambda r: (lambda m: m.filter(F.col("pk") % 2 == 0).select("set_pk", F.concat(F.lit("R"), F.col("pk").cast("string"), F.lit("^+")).alias("member")).unionByName(m.filter(F.col("pk") % 2 == 1).select("set_pk", (64512 + F.col("pk") % 50).alias("asn")).distinct().join(r("v_routes").filter("source = 'SRC0'"), "asn").select("set_pk", F.concat(F.lit("R"), F.col("pk").cast("string")).alias("member")).distinct()))(r("v_member_of")), "m.set_pk IN ('RS-3', 'RS-9') AND m.pk % 5 = 3 AND ", "set_pk IN ('RS-3', 'RS-9') AND pk % 5 = 3 AND ")
+q("route_set_members", lambda r: (lambda m: m.filter(F.col("pk") % 2 == 0).select("set_pk", F.concat(F.lit("R"), F.col("pk").cast("string"), F.lit("^+")).alias("member")).unionByName(m.filter(F.col("pk") % 2 == 1).select("set_pk", (64512 + F.col("pk") % 50).alias("asn")).distinct().join(r("v_routes").filter("source = 'SRC0'"), "asn").select("set_pk", F.concat(F.lit("R"), F.col("pk").cast("string")).alias("member")).distinct()))(r("v_member_of")),
+  "SELECT set_pk, 'R' || pk || '^+' AS member FROM {v_member_of} m WHERE pk % 2 = 0 UNION ALL SELECT * FROM (SELECT DISTINCT m.set_pk, 'R' || r.pk AS member FROM {v_member_of} m JOIN {v_routes} r ON r.asn = 64512 + m.pk % 50 AND r.source = 'SRC0' WHERE m.pk % 2 = 1) x")
 q("set_union_members", lambda r: r("v_edges").select("member").union(r("v_rs").select("set_pk")).distinct(), "SELECT member FROM {v_edges} e UNION SELECT set_pk FROM {v_rs} s")
 q("resolve_aliases", lambda r: sets.ordered_unique(r.spark.sql("SELECT * FROM (VALUES (1, 'SRC2'), (2, 'ALL'), (3, 'SRC4')) AS t(position, name)"), {"ALL": ["SRC0", "SRC2", "SRC1"]}), "SELECT * FROM (VALUES ('SRC2', 1::BIGINT), ('SRC0', 2::BIGINT), ('SRC1', 3::BIGINT), ('SRC4', 4::BIGINT)) t(source, position)")
 CHAIN = "WITH RECURSIVE bad(req, batch) AS (SELECT req, batch FROM {v_requests} r0 WHERE broken UNION SELECT r.req, r.batch FROM {v_requests} r JOIN bad ON r.refers_to = bad.req AND r.batch = bad.batch)"
@@ -308,18 +291,15 @@ q("fn_split_lines", lambda r: r("documents").select("doc_id", F.posexplode(text.
 q("fn_camel", lambda r: r("v_person").select("rpsl_pk", text.camel(F.concat(F.lit("mnt_by-"), F.lower("rpsl_pk"), F.lit("-new_key"))).alias("name")), "SELECT rpsl_pk, 'mntBy' || rpsl_pk || 'NewKey' AS name FROM {v_person} p")
 q("fn_normalise_value", lambda r: r("v_mntner").select("rpsl_pk", text.normalise_value(F.concat(F.lit(" a # x\n\n"), F.col("rpsl_pk"), F.lit(" \n# only\nb"))).alias("v")), "SELECT rpsl_pk, 'a,' || rpsl_pk || ',b' AS v FROM {v_mntner} m")
 q("fn_attr_pairs", lambda r: r("v_mntner").select("rpsl_pk", F.explode(text.fold_continuations(F.concat(F.lit("mntner: "), F.col("rpsl_pk"), F.lit("\ndescr: one\n  two\n+three\nsource: A")))).alias("line")), "SELECT rpsl_pk, unnest(['mntner: ' || rpsl_pk, 'descr: one' || chr(1) || 'two' || chr(1) || 'three', 'source: A']) AS line FROM {v_mntner} m")
-q("fn_route_key", lambda r: r("v_routes").filter("pk % 50 = 0").select("pk", text.route_key(F.concat(ip.dotted(F.col("ip_first")), F.lit("/24 - as"), F.col("asn").cast("string"))).alias("key")), "SELECT pk, ((ip_first >> 24) & 255) || '.' || ((ip_first >> 16) & 255) || '.' || ((ip_first >> 8) & 255) || '.' || (ip_first & 255) || '/24AS' || asn AS key FROM {v_routes} r WHERE pk % 50 = 0")
-whole("fn_route_key", lambda r: r("v_routes").select("pk", text.route_key(F.concat(ip.dotted(F.col("ip_first")), F.lit("/24 - as"), F.col("asn").cast("string"))).alias("key")), " WHERE pk % 50 = 0")
-q("fn_pk", lambda r: r("v_routes").filter("pk % 50 = 0").select("pk", F.upper(F.concat(ip.dotted(F.col("ip_first")), F.lit("/"), F.col("plen").cast("string"), F.lit("as"), F.col("asn").cast("string"))).alias("rpsl_pk")), "SELECT pk, ((ip_first >> 24) & 255) || '.' || ((ip_first >> 16) & 255) || '.' || ((ip_first >> 8) & 255) || '.' || (ip_first & 255) || '/' || plen || 'AS' || asn AS rpsl_pk FROM {v_routes} r WHERE pk % 50 = 0")
-whole("fn_pk", lambda r: r("v_routes").select("pk", F.upper(F.concat(ip.dotted(F.col("ip_first")), F.lit("/"), F.col("plen").cast("string"), F.lit("as"), F.col("asn").cast("string"))).alias("rpsl_pk")), " WHERE pk % 50 = 0")
+q("fn_route_key", lambda r: r("v_routes").select("pk", text.route_key(F.concat(ip.dotted(F.col("ip_first")), F.lit("/24 - as"), F.col("asn").cast("string"))).alias("key")), "SELECT pk, ((ip_first >> 24) & 255) || '.' || ((ip_first >> 16) & 255) || '.' || ((ip_first >> 8) & 255) || '.' || (ip_first & 255) || '/24AS' || asn AS key FROM {v_routes} r")
+q("fn_pk", lambda r: r("v_routes").select("pk", F.upper(F.concat(ip.dotted(F.col("ip_first")), F.lit("/"), F.col("plen").cast("string"), F.lit("as"), F.col("asn").cast("string"))).alias("rpsl_pk")), "SELECT pk, ((ip_first >> 24) & 255) || '.' || ((ip_first >> 16) & 255) || '.' || ((ip_first >> 8) & 255) || '.' || (ip_first & 255) || '/' || plen || 'AS' || asn AS rpsl_pk FROM {v_routes} r")
 q("fn_list_field", lambda r: r("v_mntner").select("rpsl_pk", F.explode(text.list_values(F.concat(F.lit("a, "), F.col("rpsl_pk"), F.lit(",, b ")))).alias("v")), "SELECT rpsl_pk, unnest(['a', rpsl_pk, 'b']) AS v FROM {v_mntner} m")
 q("fn_canonical_answer", lambda r: r("conversations").select("conv_id", "turn", F.md5(text.canonical_answer(F.col("text"))).alias("h")), r"SELECT conv_id, turn, md5(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> ''))), ' ')) AS h FROM {conversations} c")
 q("fn_email", lambda r: r("v_person").select("rpsl_pk", text.email_ok(F.when(F.length("name") % 2 == 0, F.col("email")).otherwise(F.col("name"))).alias("ok")), "SELECT rpsl_pk, length(name) % 2 = 0 AS ok FROM {v_person} p")
 q("fn_parse_asn", lambda r: r("v_autnum").select("rpsl_pk", ip.as_number(F.col("rpsl_pk")).alias("asn"), ip.as_number(F.lit("as1.10")).alias("dotted"), ip.as_number(F.lit("AS4294967296")).alias("big")), "SELECT rpsl_pk, asn_first AS asn, CAST(65546 AS BIGINT) AS dotted, CAST(NULL AS BIGINT) AS big FROM {v_autnum} a")
 q("fn_ipv4_prefix", lambda r: r("v_routes").select("pk", *[c.cast("long").alias(n) for c, n in zip(ip.prefix(F.concat(ip.dotted(F.col("ip_first")), F.lit("/"), F.col("plen").cast("string"))), ("first", "length"), strict=True)]), "SELECT pk, ip_first AS first, CAST(plen AS BIGINT) AS length FROM {v_routes} r")
 q("fn_ipv4_range", lambda r: r("v_inetnum").select("pk", *[c.alias(n) for c, n in zip(ip.address_range(F.concat(ip.dotted(F.col("ip_first")), F.lit(" - "), ip.dotted(F.col("ip_last")))), ("first", "last"), strict=True)]), "SELECT pk, ip_first AS first, ip_last AS last FROM {v_inetnum} i")
-q("fn_ip_bits", lambda r: r("v_routes").filter("pk % 50 = 0").select("pk", F.lpad(F.conv(F.col("ip_first").cast("string"), 10, 2), 32, "0").substr(F.lit(1), F.col("plen")).alias("bits")), "SELECT pk, lpad(bin(ip_first), 32, '0')[1:plen] AS bits FROM {v_routes} r WHERE pk % 50 = 0")
-whole("fn_ip_bits", lambda r: r("v_routes").select("pk", F.lpad(F.conv(F.col("ip_first").cast("string"), 10, 2), 32, "0").substr(F.lit(1), F.col("plen")).alias("bits")), " WHERE pk % 50 = 0")
+q("fn_ip_bits", lambda r: r("v_routes").select("pk", F.lpad(F.conv(F.col("ip_first").cast("string"), 10, 2), 32, "0").substr(F.lit(1), F.col("plen")).alias("bits")), "SELECT pk, lpad(bin(ip_first), 32, '0')[1:plen] AS bits FROM {v_routes} r")
 q("fn_overlaps", lambda r: r("v_inetnum").select("pk", ip.overlaps(F.col("ip_first"), F.col("ip_last"), F.lit(Q_FIRST), F.lit(Q_LAST * 2)).alias("hit")), f"SELECT pk, ip_first <= {Q_LAST * 2} AND ip_last >= {Q_FIRST} AS hit FROM {{v_inetnum}} i")
 q("fn_ip_size", lambda r: r("v_inetnum").select("pk", (F.col("ip_last") - F.col("ip_first") + 1).alias("n")), "SELECT pk, ip_last - ip_first + 1 AS n FROM {v_inetnum} i")
 q("fn_route_blocklist", lambda r: r("v_routes").filter((F.col("plen") == 0) | ((F.col("ip_first") == 0) & (F.col("plen") == 32)) | F.col("pk").isin(5, 6)).select("pk"), "SELECT pk FROM {v_routes} r WHERE plen = 0 OR (ip_first = 0 AND plen = 32) OR pk IN (5, 6)")
@@ -332,16 +312,13 @@ q("fn_array_concat", lambda r: r("v_mnt_by").groupBy("pk").agg(F.array_join(F.ar
 q("fn_set_name", lambda r: r("v_edges").select("member", text.set_name_ok(F.col("member")).alias("ok")).distinct(), "SELECT DISTINCT member, regexp_full_match(member, 'AS-[A-Z0-9_-]*[A-Z0-9]') AS ok FROM {v_edges} e")
 q("fn_generic_name", lambda r: r("v_mntner").select("rpsl_pk", text.generic_name_ok(F.col("rpsl_pk")).alias("ok"), text.generic_name_ok(F.lit("as-any")).alias("bad"), text.generic_name_ok(F.lit("rs_any")).alias("word")), "SELECT rpsl_pk, true AS ok, false AS bad, false AS word FROM {v_mntner} m")
 q("render_ov_state", lambda r: objects(r).filter("object_class = 'route'").select("k", F.concat(F.lit("rpki-ov-state:  "), F.col("rpki_status")).alias("line")), "SELECT k, 'rpki-ov-state:  ' || rpki_status AS line FROM {v_objects} o WHERE object_class = 'route'")
-q("notify_targets", lambda r: r("v_requests").join(r("v_mnt_by").withColumnRenamed("pk", "req"), "req").join(r("v_mntner"), F.col("mntner") == F.col("rpsl_pk")).filter("req % 10 = 1").groupBy("mnt_nfy").agg(F.countDistinct("req").alias("n")), "SELECT mnt_nfy, count(DISTINCT req) AS n FROM {v_requests} r JOIN {v_mnt_by} b ON r.req = b.pk JOIN {v_mntner} m ON b.mntner = m.rpsl_pk WHERE req % 10 = 1 GROUP BY mnt_nfy")
-whole("notify_targets", lambda r: r("v_requests").join(r("v_mnt_by").withColumnRenamed("pk", "req"), "req").join(r("v_mntner"), F.col("mntner") == F.col("rpsl_pk")).groupBy("mnt_nfy").agg(F.countDistinct("req").alias("n")), " WHERE req % 10 = 1")
+q("notify_targets", lambda r: r("v_requests").join(r("v_mnt_by").withColumnRenamed("pk", "req"), "req").join(r("v_mntner"), F.col("mntner") == F.col("rpsl_pk")).groupBy("mnt_nfy").agg(F.countDistinct("req").alias("n")), "SELECT mnt_nfy, count(DISTINCT req) AS n FROM {v_requests} r JOIN {v_mnt_by} b ON r.req = b.pk JOIN {v_mntner} m ON b.mntner = m.rpsl_pk GROUP BY mnt_nfy")
 q("change_type", lambda r: r("v_file").join(_stored(r).withColumnRenamed("body", "old"), "pk", "left").select("pk", F.when(F.col("old").isNull(), "create").when(F.col("old") == F.col("body"), "no-op").otherwise("modify").alias("type")), "SELECT f.pk, CASE WHEN r.pk IS NULL THEN 'create' WHEN f.body = 'same' THEN 'no-op' ELSE 'modify' END AS type FROM {v_file} f LEFT JOIN {v_routes} r ON f.pk = r.pk")
 q("auth_check", lambda r: r("v_mnt_by").groupBy("pk").agg(F.max(F.col("mntner").isin("MNT-1", "MNT-5").cast("int")).alias("a")).select("pk", (F.col("a") == 1).alias("allowed")), "SELECT pk, max(CASE WHEN mntner IN ('MNT-1', 'MNT-5') THEN 1 ELSE 0 END) = 1 AS allowed FROM {v_mnt_by} m GROUP BY pk")
 q("rules_check", lambda r: r("v_mnt_by").join(r("v_suspended").select("mntner").distinct(), "mntner", "left_semi").select("pk").distinct(), "SELECT DISTINCT pk FROM {v_mnt_by} m WHERE mntner IN (SELECT mntner FROM {v_suspended} s)")
 q("change_status", lambda r: r("v_requests").select("req", F.when(F.col("broken"), "error: parse").when(F.col("req") % 7 == 0, "error: auth").when(F.col("refers_to").isNull(), "ok: leaf").otherwise("ok").alias("status")), "SELECT req, CASE WHEN broken THEN 'error: parse' WHEN req % 7 = 0 THEN 'error: auth' WHEN refers_to IS NULL THEN 'ok: leaf' ELSE 'ok' END AS status FROM {v_requests} r")
-q("change_rpki_scope", lambda r: classify.origin_validity(r("v_routes").filter("pk % 9 = 0"), r("v_roas")).filter("rpki_status = 'invalid'").select("pk"), "SELECT r.pk FROM {v_routes} r JOIN {v_roas} a ON a.ip_first <= r.ip_first AND a.ip_last >= r.ip_last WHERE r.pk % 9 = 0 GROUP BY r.pk HAVING max(CASE WHEN a.asn <> 0 AND a.asn = r.asn AND r.plen <= a.max_length THEN 1 ELSE 0 END) = 0")
-whole("change_rpki_scope", lambda r: classify.origin_validity(r("v_routes"), r("v_roas")).filter("rpki_status = 'invalid'").select("pk"), " WHERE r.pk % 9 = 0")
+q("change_rpki_scope", lambda r: classify.origin_validity(r("v_routes"), r("v_roas")).filter("rpki_status = 'invalid'").select("pk"), "SELECT r.pk FROM {v_routes} r JOIN {v_roas} a ON a.ip_first <= r.ip_first AND a.ip_last >= r.ip_last GROUP BY r.pk HAVING max(CASE WHEN a.asn <> 0 AND a.asn = r.asn AND r.plen <= a.max_length THEN 1 ELSE 0 END) = 0")
 q("database_status", lambda r: r("v_status").join(objects(r).groupBy(F.lower("source").alias("s")).agg(F.count("*").alias("n")), F.col("s") == F.col("source"), "left").select("source", "serial_newest_journal", F.coalesce("n", F.lit(0)).alias("objects")), "SELECT source, serial_newest_journal, (SELECT count(*) FROM {v_objects} o WHERE lower(o.source) = s.source) AS objects FROM {v_status} s")
-whole("fn_rs_member", lambda r: more.rs_members(r("v_routes")), " WHERE pk % 50 = 0")
 
 # ---- sources over literal texts ----
 _body = lambda r, t: r.spark.createDataFrame([(t,)], "body string")

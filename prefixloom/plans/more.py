@@ -81,8 +81,8 @@ ENTRIES = {
         "SELECT rpsl_pk, asn_first AS first, asn_last AS last, CAST(NULL AS BIGINT) AS turned FROM {v_asblock} b",
     ),
     "fn_rs_member": (
-        lambda r: rs_members(r("v_routes").filter("pk % 50 = 0")),
-        "SELECT pk, ((ip_first >> 24) & 255) || '.' || ((ip_first >> 16) & 255) || '.' || ((ip_first >> 8) & 255) || '.' || (ip_first & 255) || '/' || plen || '^' || (plen + 1) || '-32' AS ranged, CAST(NULL AS VARCHAR) AS short, 'RS-ONE^+' AS named, 'AS65537^24' AS number, CAST(NULL AS VARCHAR) AS missing FROM {v_routes} r WHERE pk % 50 = 0",
+        lambda r: rs_members(r("v_routes")),
+        "SELECT pk, ((ip_first >> 24) & 255) || '.' || ((ip_first >> 16) & 255) || '.' || ((ip_first >> 8) & 255) || '.' || (ip_first & 255) || '/' || plen || '^' || (plen + 1) || '-32' AS ranged, CAST(NULL AS VARCHAR) AS short, 'RS-ONE^+' AS named, 'AS65537^24' AS number, CAST(NULL AS VARCHAR) AS missing FROM {v_routes} r",
     ),
     "fn_set_prefix_required": (lambda r: r("v_edges").select("member", fields.hierarchical(F.concat("member", L(":AS-X"))).alias("ok")).distinct(), "SELECT DISTINCT member, regexp_matches(member, '^AS[0-9]+$') AS ok FROM {v_edges} e"),
     "fn_parse_status_line": (
