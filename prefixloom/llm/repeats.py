@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 LEAST, GRAM, FIRST, CROWD, BLOCK = 400, 128, 16, 64, 1 << 20
+#: Bits of the broadcast bitmap that tells which texts have places: 2 MB of bits, as 262 144 rows at most.
+MARKS = 1 << 24
 STRETCHES = "doc_id long, th long, lo int, hi int, at int, key long, ctx long"
 
 
@@ -174,10 +176,23 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - 1
 
 
+def marked(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """Texts with near__: false only where no place belongs to a text. A bitmap of hashes tells, MARKS bits whatever the input; full, it lets all pass."""
+    bit = f"pmod(th, {MARKS}L)"
+    words = places.select(F.expr(f"shiftright({bit}, 6) AS word__"), F.expr(f"shiftleft(1L, int({bit} % 64)) AS bit__")).groupBy("word__").agg(F.bit_or("bit__").alias("bits__"))
+    near = F.expr(f"coalesce(shiftrightunsigned(bits__, int({bit} % 64)) & 1L, 0L) = 1L")
+    return texts.withColumn("word__", F.expr(f"shiftright({bit}, 6)")).join(F.broadcast(words), "word__", "left").withColumn("near__", near).drop("word__", "bits__")
+
+
 def with_places(texts: DataFrame, places: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
-    """Texts with the array `places` of structs of cols that belong to each."""
+    """Texts with the array `places` of structs of cols that belong to each. Only texts that may have one are shuffled."""
     rows = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct(*cols)).alias("places")).withColumnRenamed("doc_id", "id__").withColumnRenamed("th", "th__")
-    return texts.join(rows, (texts["th"] == rows["th__"]) & texts["doc_id"].eqNullSafe(rows["id__"]), how).drop("id__", "th__")
+    known = marked(texts, places)
+    near = known.filter("near__").drop("near__")
+    found = near.join(rows, (near["th"] == rows["th__"]) & near["doc_id"].eqNullSafe(rows["id__"]), how).drop("id__", "th__")
+    if how == "inner":
+        return found
+    return found.unionByName(known.filter("not near__").drop("near__").withColumn("places", F.lit(None).cast(rows.schema["places"].dataType)))
 
 
 def first_stretches(texts: DataFrame, least: int) -> DataFrame:
