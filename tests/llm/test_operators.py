@@ -232,8 +232,9 @@ def brute_repeats(raw, least):
         yield len(r), int(gone.sum()), len(repeats.runs_of(gone)[0]), hashlib.sha256(np.frombuffer(r, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize("crowd", [64, 2])
-def test_repeats(spark, crowd):
+@pytest.mark.parametrize(("crowd", "marks"), [(64, 1 << 24), (2, 64)])
+def test_repeats(spark, monkeypatch, crowd, marks):
+    monkeypatch.setattr(repeats, "MARKS", marks)  # 64 bits are soon full: texts without places go through the join too
     rng = np.random.default_rng(8)
     some = lambda n: " ".join(f"{WORDS[int(rng.integers(10))]}{rng.integers(90)}" for _ in range(n))
     common = some(12)
