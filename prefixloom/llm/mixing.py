@@ -4,12 +4,16 @@ Targets: each source's weighted share of the words asked for, at most `most` tim
 by weight (water-filling, in closed form over the sources sorted by the level at which they fill up). Quotas: blocks
 of equal size go to sources by the highest quotients target / (2 seats + 1). Seats are monotone in their number, so
 every shard's quota is the difference of two prefixes. Only quotients near the last seat are ranked: about as many
-rows as there are sources, however many blocks. Selection: a source's documents stand in seeded order, end to end and
-as often as `most` allows, and the source's first quota of blocks is taken.
+rows as there are sources, however many blocks.
+
+Selection: a source's documents stand end to end in seeded order. Each shard has a stretch of that line, in proportion to
+its quota, and takes its quota of blocks from its own stretch: whole rounds of the stretch, then its first blocks. A document
+that lies across two stretches has its part in each. So the number of shards changes which documents are taken, and a
+source's sum by a few words at most, as stretches end at whole words.
 
 Nulls: a null text has no words; a null source is a source of its own, last in order; a null doc_id is kept. Empty
-texts take nothing. Ties in the seeded order fall to doc_id, then size. Repeated rows count each. Without words every
-target is 0. Other columns are ignored, whatever their names.
+texts take nothing. Texts of any length are counted whole. Ties in the seeded order fall to doc_id, then size. Repeated
+rows count each. Without words every target is 0. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,20 +60,44 @@ def shard_quotas(targets: DataFrame, block: int, shards: int = 1) -> DataFrame:
     return won.select("source_id", "shard", gained.cast("long").alias("blocks"))
 
 
+def stretches(targets: DataFrame, quotas: DataFrame, block: int, most: float) -> DataFrame:
+    """(source_id, parts): for each source the stretches lo .. hi of its line, one a shard at most, how many whole rounds are taken of each and up to where the rest is."""
+    by = Window.partitionBy("source_id")
+    q = quotas.withColumn("upto", F.sum("blocks").over(by.orderBy("shard"))).withColumn("all", F.sum("blocks").over(by)).filter("blocks > 0")
+    q = q.join(targets, "source_id")
+    place = lambda n: F.floor(F.col("source_size") * (n / F.col("all")))
+    q = q.withColumn("lo", place(F.col("upto") - F.col("blocks"))).withColumn("hi", place(F.col("upto"))).filter("hi > lo")
+    q = q.withColumn("words", F.least(F.col("blocks") * block, F.floor(F.lit(float(most)) * (F.col("hi") - F.col("lo")))))
+    q = q.withColumn("rounds", F.floor(F.col("words") / (F.col("hi") - F.col("lo"))))
+    part = F.struct("lo", "hi", "rounds", (F.col("lo") + F.col("words") - F.col("rounds") * (F.col("hi") - F.col("lo"))).alias("rest"))
+    return q.groupBy("source_id").agg(F.collect_list(part).alias("parts"))
+
+
+def words_taken(parts: str, start: Column, size: Column) -> Column:
+    """Words that the stretches take of a document that stands at `start`."""
+
+    def of(part: Column) -> Column:
+        a, b = F.greatest(start, part["lo"]), F.least(start + size, part["hi"])
+        return part["rounds"] * F.greatest(F.lit(0), b - a) + F.greatest(F.lit(0), F.least(b, part["rest"]) - a)
+
+    return F.coalesce(F.aggregate(parts, F.lit(0).cast("long"), lambda n, part: n + of(part)), F.lit(0))
+
+
 def mix(spark: SparkSession, documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int = 8, seed: int = 17, most_block: int = 64) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source, source_id) of every document.
 
-    A block holds most_block words, or less where the smallest target is under 64 blocks. One row a source is all that
-    any single task sees; documents meet in ranges of a seeded hash, a bounded number to a range."""
+    A block holds most_block words, or less where the smallest target is under 64 blocks. One row a source, and one a source
+    and shard, is all that any single task sees; documents meet in ranges of a seeded hash, some 256 to a range up to 2**28
+    documents, beyond that ever more, which Spark sorts with spilling."""
     scratch = shared.Scratch(spark, "mix")
     at = F.xxhash64("doc_id", F.lit(seed))
     sized = scratch.save(documents.select("doc_id", "source", n_words().alias("size"), at.alias("at")))
     targets = scratch.save(source_targets(sized, weights, share, most))
     least = targets.filter("target > 0").agg(F.min("target")).first()[0] or 1.0
     block = int(max(1, min(most_block, least // 64)))
-    quota = shard_quotas(targets, block, shards).groupBy("source_id").agg(F.sum("blocks").alias("blocks"))
-    plan = targets.join(quota, "source_id", "left").select("source", "source_id", "source_size", "target", F.least(F.coalesce(F.col("blocks"), F.lit(0)) * block, (F.lit(float(most)) * F.col("source_size")).cast("long")).alias("words"))
-    ranges = max(1, min(1 << 16, -(-sized.count() // 256)))
+    parts = stretches(targets, shard_quotas(targets, block, shards), block, most)
+    plan = targets.join(parts, "source_id", "left")
+    ranges = max(1, min(1 << 20, -(-sized.count() // 256)))
     high = F.shiftrightunsigned("at", 32)
     docs = sized.withColumn("bucket", F.shiftright(high * ranges, 32)).withColumn("high", high)
     key = docs["source"].eqNullSafe(plan["source"])
@@ -78,9 +106,7 @@ def mix(spark: SparkSession, documents: DataFrame, weights: tuple[float, ...] =
     sums = sums.select("source_id", "bucket", (F.sum("n").over(Window.partitionBy("source_id").orderBy("bucket")) - F.col("n")).alias("base"))
     inner = Window.partitionBy("source_id", "bucket").orderBy("high", "at", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = docs.join(sums, ["source_id", "bucket"]).withColumn("start", F.col("base") + F.sum("size").over(inner) - F.col("size"))
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0)
-    rest = F.col("words") - rounds * F.col("source_size")
-    taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
+    taken = words_taken("parts", F.col("start"), F.col("size"))
     return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "source_id")
 
 

@@ -210,6 +210,21 @@ def test_mixing(spark):
     assert mixing.mix(spark, table(spark, [])).filter("taken > 0").count() == 0
 
 
+def test_shards_change_the_selection_not_the_sums(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 90))), "en", ("a", "b", "c", None)[min(3, i % 7)], 0, "k", 1) for i in range(400)]
+    rows += [(900, "long " * 5000, "en", "b", 0, "k", 1)]  # lies across stretches
+    taken, sums = {}, {}
+    for shards in (1, 4, 8):
+        got = mixing.mix(spark, table(spark, rows), shards=shards).collect()
+        assert all(0 <= r.taken <= 2 * r["size"] for r in got) and len(got) == len(rows) + 2
+        taken[shards] = {r.doc_id: r.taken for r in got}
+        sums[shards] = {r.source: (sum(x.taken for x in got if x.source == r.source), r.target) for r in got}
+    assert taken[1] != taken[4] != taken[8] != taken[1]
+    for shards in (4, 8):
+        assert all(abs(n - sums[1][k][0]) <= 2 * shards and abs(n - t) <= 64 for k, (n, t) in sums[shards].items())
+
+
 def test_sainte_lague_quotas(spark):
     v = {0: 530.0, 1: 240.0, 2: 230.0, 3: 7.0}
     rows = spark.createDataFrame([(k, x) for k, x in v.items()], "source_id int, target double")
