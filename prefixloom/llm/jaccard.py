@@ -86,6 +86,11 @@ def id_and_text(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def text_hash(text: str | Column) -> Column:
+    """A name for a text (null too) that tells apart the rows of a repeated doc_id."""
+    return F.xxhash64(F.col(text).cast("string") if isinstance(text, str) else text.cast("string"))
+
+
 def statistics(documents: DataFrame, k: int, bits: int = BITS, small: int = 128) -> tuple[np.ndarray, dict[int, int]]:
     """Counts of shingles over all rows by the top bits of their hashes, and how many sets there are of each size below
     `small`: tables of fixed size, whatever the input."""
@@ -144,9 +149,9 @@ def boundary(sizes: dict[int, int], percent: int, list_rows: float = 4.0, most:
 
 
 def keyed(documents: DataFrame, k: int, counts: np.ndarray, bound: int, percent: int, salt: int, bits: int = BITS) -> DataFrame:
-    """(doc_id, n, cid, keys, s0 .. s15) of every row: the keys by which its set meets similar ones, and its parity bitmap."""
+    """(doc_id, th, n, cid, keys, s0 .. s15) of every row: a hash of its text, the keys by which its set meets similar ones, and its parity bitmap."""
     table = documents.sparkSession.sparkContext.broadcast(counts)
-    names = ["doc_id", "n", "cid", "keys", *SIGN]
+    names = ["doc_id", "th", "n", "cid", "keys", *SIGN]
 
     def keys_of(h: np.ndarray) -> np.ndarray:
         n, out = len(h), []
@@ -172,9 +177,9 @@ def keyed(documents: DataFrame, k: int, counts: np.ndarray, bound: int, percent:
             keys = [keys_of(h) for h in sets]
             at = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), class_ids(sets, salt), lists, *[pa.array(sign[:, i]) for i in range(len(SIGN))]], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([len(h) for h in sets], pa.int64()), class_ids(sets, salt), lists, *[pa.array(sign[:, i]) for i in range(len(SIGN))]], names=names)
 
-    return id_and_text(documents).mapInArrow(run, "doc_id long, n long, cid long, keys array<long>, " + ", ".join(f"{x} long" for x in SIGN))
+    return id_and_text(documents).withColumn("th", text_hash("text")).mapInArrow(run, "doc_id long, th long, n long, cid long, keys array<long>, " + ", ".join(f"{x} long" for x in SIGN))
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -250,12 +255,12 @@ def pivot_pairs(scratch: shared.Scratch, mixed: DataFrame, seed: int) -> DataFra
 
 
 def linked(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, root, component_id) of every row; root is the least class of the component."""
+    """(doc_id, th, n_shingles, root, component_id) of every row; th is the text's hash, root the least class of the component."""
     scratch = shared.Scratch(spark, "jaccard")
     counts, sizes = statistics(documents, k)
     salt = 0
     whole = scratch.save(keyed(documents, k, counts, boundary(sizes, percent), percent, salt))
-    rows = scratch.save(whole.select("doc_id", "n", "cid"))
+    rows = scratch.save(whole.select("doc_id", "th", "n", "cid"))
     # one row for each class: equal sets have equal keys and bitmaps
     sign = scratch.save(whole.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), *[F.first(x).alias(x) for x in SIGN]))
     scratch.drop(whole)
@@ -308,10 +313,10 @@ def linked(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k:
         scratch.drop(mixed)
         if more.take(1):
             roots = scratch.save(components(scratch, roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
-    named = rows.join(roots, rows["cid"] == roots["node"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "cid")).alias("root"))
+    named = rows.join(roots, rows["cid"] == roots["node"], "left").select("doc_id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "cid")).alias("root"))
     least = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), "root", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op10(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -319,9 +324,16 @@ def op10(spark: SparkSession, documents: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, documents: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """One document of each component, the one with the least doc_id, with its columns; rows without doc_id stay, equal rows become one."""
-    named = linked(spark, documents, percent, k)
-    gone = named.groupBy("doc_id").agg(F.min(F.col("component_id")).alias("c")).filter("c < doc_id").select(F.col("doc_id").alias("gone__"))
-    kept = documents.join(gone, documents["doc_id"] == gone["gone__"], "left_anti")
-    twice = named.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    """One document of each component, with its columns: the one with the least doc_id (rows without come last), of those that
+    share it the one whose text has the least hash. Rows are told apart by doc_id and text, so another text under a repeated
+    doc_id is judged by itself. Of rows equal in every column one stays; rows equal in doc_id and text only, all; documents
+    without shingles stay."""
+    scratch = shared.Scratch(spark, "keep")
+    named = scratch.save(linked(spark, documents, percent, k).select("root", "doc_id", "th"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    groups = scratch.save(named.filter("root is not null").groupBy("root").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first < last"))
+    at = named.join(groups, "root")
+    gone = at.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))).select(F.col("doc_id").alias("gone__"), F.col("th").alias("th__")).distinct()
+    kept = documents.join(gone, documents["doc_id"].cast("long").eqNullSafe(gone["gone__"]) & (text_hash(documents["text"]) == gone["th__"]), "left_anti")
+    twice = named.groupBy("doc_id", "th").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates() if twice else kept

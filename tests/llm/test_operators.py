@@ -350,3 +350,12 @@ def test_pipeline_keeps_one_of_near_copies(spark):
                 root = [x if r == y else r for r in root]
     got = sorted(r.doc_id for r in pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
     assert got == sorted(set(root)) and not {1, 4} & set(got)
+
+
+def test_near_copies_under_repeated_ids(spark):
+    one, two = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    near = [*one, "more"]
+    rows = [(1, one), (2, near), (2, two), (2, two), (None, [*near, "again"]), (None, ["x"] * 9), (None, ["x"] * 9), (3, [*two, "more"]), (4, []), (4, []), (5, [])]
+    df = spark.createDataFrame([(i, " ".join(w), k) for k, (i, w) in enumerate(rows) if k not in (3, 6)] + [(2, " ".join(two), 2), (None, " ".join(["x"] * 9), 5)], "doc_id long, text string, n int")
+    got = sorted((r.doc_id or 0, r.text, r.n) for r in jaccard.keep_one(spark, df, 80, 5).collect())
+    assert got == sorted([(1, " ".join(one), 0), (2, " ".join(two), 2), (0, " ".join(["x"] * 9), 5), (4, "", 8), (4, "", 9), (5, "", 10)])
